@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vdjloom.plans import problems
+from vdjloom.plans import problems, repertoire
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**repertoire.QUERIES, **problems.QUERIES}
+ORACLE = {**repertoire.ORACLE, **problems.ORACLE}
