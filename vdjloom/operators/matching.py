@@ -86,8 +86,9 @@ def best_suffix(wanted: DataFrame, files: DataFrame, key: str, wanted_path: str,
     tail = lambda c: F.array_join(F.slice(F.reverse(path_parts(c)), 1, least), "/")
     a = wanted.select(F.col(key), F.reverse(path_parts(wanted_path)).alias("_a"), tail(wanted_path).alias("_ta"))
     b = files.select(F.col(path).alias("path"), F.reverse(path_parts(path)).alias("_b"), tail(path).alias("_tb")).distinct()
-    zipped = F.arrays_zip(F.col("_a").alias("x"), F.col("_b").alias("y"))
-    same = F.aggregate(zipped, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, z: F.struct((s["n"] + (s["go"] & F.coalesce(z[0] == z[1], F.lit(False))).cast("int")).alias("n"), (s["go"] & F.coalesce(z[0] == z[1], F.lit(False))).alias("go")))["n"]
+    equal = F.zip_with("_a", "_b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first_miss = F.array_position(equal, False)
+    same = F.when(first_miss == 0, F.size(equal)).otherwise(first_miss - 1).cast("int")
     j = a.join(b, F.col("_ta") == F.col("_tb")).withColumn("score", same).filter(F.col("score") >= least)
     w = Window.partitionBy(key)
     top = j.withColumn("_m", F.max("score").over(w)).filter("score = _m")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vdjloom.plans import problems, repertoire
+from vdjloom.plans import composition, problems, repertoire
 
-QUERIES = {**repertoire.QUERIES, **problems.QUERIES}
-ORACLE = {**repertoire.ORACLE, **problems.ORACLE}
+QUERIES = {**repertoire.QUERIES, **composition.QUERIES, **problems.QUERIES}
+ORACLE = {**repertoire.ORACLE, **composition.ORACLE, **problems.ORACLE}
