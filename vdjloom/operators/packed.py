@@ -233,7 +233,7 @@ def split_packed(df: DataFrame, key: str, fields: list[str], settle, least_items
     string is hot, or broadcasts where the parses are few.
     """
     long = fields_of(df, key, fields)
-    strings = long.groupBy("field_name", "packed").agg(F.count(F.lit(1)).alias("n"))
+    strings = settle(long.groupBy("field_name", "packed").agg(F.count(F.lit(1)).alias("n")))
     several = cheapest_parses(strings, settle).filter(F.size("items") >= least_items)
     p = several.select(F.col("field_name").alias("_f"), F.col("packed").alias("_s"), "items")
     rows = long.filter(~F.col("packed").rlike(SINGLE)).distinct()
