@@ -47,10 +47,10 @@ def switch_pairs(df: DataFrame, frame: list[str], weight: str = "umi_counts") ->
     genes = per.groupBy(*frame, "cdr3_aa").agg(F.array_sort(F.collect_list(F.struct("gene", "u"))).alias("g"), F.sum("k").alias("k")).filter((F.col("k") > 1) & (F.size("g") > 1))
     pairs = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: b["gene"] > a["gene"]), lambda b: F.struct(F.concat(a["gene"], F.lit("-"), b["gene"], F.lit("_CSR_ratio")).alias("n"), (a["u"] + b["u"]).alias("u")))))
     sums = genes.select(*frame, F.explode(pairs).alias("p")).groupBy(*frame, F.col("p.n").alias("csr_name")).agg(F.sum("p.u").cast("double").alias("_s"))
-    total = rows.groupBy(*(F.col(f).alias(f"_{f}") for f in frame)).agg(F.sum(weight).cast("double").alias("_t"))
+    total = rows.groupBy(*(F.col(f).alias(f"__{f}") for f in frame)).agg(F.sum(weight).cast("double").alias("_t"))
     same = F.lit(True)
     for f in frame:
-        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
     return sums.join(total, same).select(*frame, "csr_name", F.when(F.col("_t") != 0, F.col("_s") / F.col("_t")).alias("ratio"))
 
 

@@ -54,7 +54,7 @@ def diversity(df: DataFrame, keys: list[str], weight: str = "umi_counts", cdr3:
         F.sum(-F.col("m") * p * F.log(p)).alias("_h"), F.sum(F.col("m") * p * p).alias("_p2"), F.sum(lorenz).alias("_lorenz"),
     )
     clones = rows.filter(F.col(cdr3).isNotNull()).groupBy(*keys, cdr3).agg(F.sum(weight).alias("_c"))
-    largest = clones.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg((F.max("_c").cast("double") / F.sum("_c").cast("double")).alias("_largest"))
+    largest = clones.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg((F.max("_c").cast("double") / F.sum("_c").cast("double")).alias("_largest"))
     n, t = F.col("n_rows").cast("double"), F.col("total").cast("double")
     area = F.greatest(F.lit(0.0), 1.0 - 2.0 * F.col("_lorenz") / (n * t))
     if gini == "trapezoids":
@@ -62,7 +62,7 @@ def diversity(df: DataFrame, keys: list[str], weight: str = "umi_counts", cdr3:
     elif gini != "rectangles":
         raise ValueError("gini: rectangles or trapezoids")
     scale = 1.0 if base is None else F.log(F.lit(float(base)))
-    return g.join(largest, _equal(keys, "_"), "left").select(
+    return g.join(largest, _equal(keys, "__"), "left").select(
         *keys, "n_rows", "total",
         (F.col("_half") * 100.0 / n).alias("D50"), F.col("_largest").alias("Largest_clone_percent"),
         (F.col("_h") / scale).alias("Shannon_index"), F.when(n > 1, F.col("_h") / F.log(n)).alias("Pielou_evenness"),

@@ -20,10 +20,10 @@ def _tcr_rule(df: DataFrame, frame: list[str]) -> DataFrame:
     """Frames in which more than TCR_SHARE of the rows have a TR locus keep only identities from
     TCR_IDENTITY on. The share is one small row per frame."""
     is_tr = F.when(F.contains(F.col("locus"), F.lit("TR")), 1).otherwise(0)
-    share = df.groupBy(*(F.col(f).alias(f"_{f}") for f in frame)).agg((F.sum(is_tr) / F.count(F.lit(1))).alias("_tr"))
+    share = df.groupBy(*(F.col(f).alias(f"__{f}") for f in frame)).agg((F.sum(is_tr) / F.count(F.lit(1))).alias("_tr"))
     same = F.lit(True)
     for f in frame:
-        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
     return df.join(share, same).filter((F.col("_tr") <= TCR_SHARE) | (F.col("v_identity") >= TCR_IDENTITY)).select(*df.columns)
 
 
@@ -42,10 +42,10 @@ def airr_filter(df: DataFrame, frame: list[str]) -> DataFrame:
     )
     cols = [c for c in df.columns if c not in ("sequence_id", "umi_counts")]
     rows = df.filter(keep).groupBy(*cols).agg(F.count(F.lit(1)).alias("_times"))
-    per = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in [*frame, "sequence"])).agg(F.sum("_times").alias("umi_counts"))
-    same = F.col("sequence").eqNullSafe(F.col("_sequence"))
+    per = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in [*frame, "sequence"])).agg(F.sum("_times").alias("umi_counts"))
+    same = F.col("sequence").eqNullSafe(F.col("__sequence"))
     for f in frame:
-        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
     return _tcr_rule(rows.join(per, same).select(*cols, "umi_counts"), frame)
 
 

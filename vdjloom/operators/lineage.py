@@ -33,11 +33,11 @@ def mapping_reason(own: Column, matches: Column, reason: Column) -> Column:
 
 def mapping_lineage(queries: DataFrame, annotations: DataFrame, key: list[str], order: str, values: list[str]) -> DataFrame:
     """J01 with F34: queries with their annotation's values and filter_reason by the guarded join."""
-    own = queries.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.count(F.lit(1)).alias("n_queries"))
+    own = queries.groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(F.count(F.lit(1)).alias("n_queries"))
     same = F.lit(True)
     for k in key:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    q = queries.join(own, same, "left").drop(*(f"_{k}" for k in key))
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    q = queries.join(own, same, "left").drop(*(f"__{k}" for k in key))
     j = unique_join(q, annotations, key, key, order, [*values, "filter_reason"])
     sure = (F.col("n_queries") == 1) & (F.col("n_matches") == 1)
     reason = mapping_reason(F.coalesce("n_queries", F.lit(0)), F.col("n_matches"), F.col("filter_reason"))
@@ -108,10 +108,10 @@ def densify(counts: DataFrame, keys: list[str], column: str, values: list[str],
     dense = counts.select(*keys).distinct().select("*", F.explode(F.array(*(F.lit(v) for v in values))).alias(column))
     full = dense.unionByName(counts.select(*keys, column)).distinct()
     k = [*keys, column]
-    c = counts.select(*(F.col(x).alias(f"_{x}") for x in k), count)
+    c = counts.select(*(F.col(x).alias(f"__{x}") for x in k), count)
     same = F.lit(True)
     for x in k:
-        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
+        same = same & F.col(x).eqNullSafe(F.col(f"__{x}"))
     return full.join(c, same, "left").select(*k, F.coalesce(count, F.lit(0)).alias(count))
 
 

@@ -160,7 +160,7 @@ def alternative_groups(reads: DataFrame, key: str, seq: str, groups: list[str],
     per (read, primer group) and counted.
     """
     t = settings(threshold)
-    low = summary.filter((F.col("match_class") == "unique") & (F.col("percent") < t)).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("denominator"), F.col("percent").alias("original_unique_percent"))
+    low = summary.filter((F.col("match_class") == "unique") & (F.col("percent") < t)).select(*(F.col(g).alias(f"__{g}") for g in groups), F.col("denominator"), F.col("percent").alias("original_unique_percent"))
     other = [p for p in primers if p[2] != assigned]
     r = reads.filter(F.length(seq) > 0).withColumn("_win", F.upper(seq))
     names = reads.sparkSession.createDataFrame([(n, g) for n, _, g in other] or [("", "")], "_name string, tested_group string").distinct()
@@ -172,13 +172,13 @@ def alternative_groups(reads: DataFrame, key: str, seq: str, groups: list[str],
     tested = low.select("*", F.explode(F.array(*(F.lit(g) for g in sorted({p[2] for p in other})))).alias("_tg")) if other else low.withColumn("_tg", F.lit("")).limit(0)
     same = F.col("tested_group") == F.col("_tg")
     for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     j = tested.join(hit, same, "left")
     u, mult = F.coalesce("u", F.lit(0)), F.coalesce("m", F.lit(0))
     p = pct(u, F.col("denominator"))
     status = F.when((p >= t) & (p > F.col("original_unique_percent")), "suspected").otherwise("below_threshold")
     return j.select(
-        *(F.col(f"_{g}").alias(g) for g in groups), F.col("_tg").alias("tested_group"), "denominator", "original_unique_percent", u.alias("unique_count"), mult.alias("multiple_count"),
+        *(F.col(f"__{g}").alias(g) for g in groups), F.col("_tg").alias("tested_group"), "denominator", "original_unique_percent", u.alias("unique_count"), mult.alias("multiple_count"),
         (F.col("denominator") - u - mult).alias("unmatched_count"), p.alias("unique_percent"), status.alias("status"),
     )
 
@@ -222,12 +222,12 @@ def scenarios(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, str
     """Reads of groups with a suspected alternative, reclassified under that primer group: a
     row per read and scenario, with scenario_id (a hash of group and tested primer group), names and
     match_class. Its output feeds the same summaries, usage and allocation operators, by scenario_id."""
-    tested = suspected.filter("status = 'suspected'").select(*(F.col(g).alias(f"_{g}") for g in groups), "tested_group")
+    tested = suspected.filter("status = 'suspected'").select(*(F.col(g).alias(f"__{g}") for g in groups), "tested_group")
     same = F.lit(True)
     for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     sid = F.substring(F.sha2(F.concat_ws("\x00", *(F.col(g).cast("string") for g in groups), F.col("tested_group")), 256), 1, 16)
-    r = reads.join(tested, same).withColumn("scenario_id", sid).drop(*(f"_{g}" for g in groups))
+    r = reads.join(tested, same).withColumn("scenario_id", sid).drop(*(f"__{g}" for g in groups))
     m = match(reads.withColumn("_win", F.upper(seq)), key, "_win", primers).select(F.col(key).alias("_k"), F.col("names").alias("_all"))
     of = reads.sparkSession.createDataFrame([(g, sorted({n for n, _, x in primers if x == g})) for g in sorted({p[2] for p in primers})], "_tg string, _allowed array<string>")
     j = r.join(m, F.col(key) == F.col("_k"), "left").join(F.broadcast(of), F.col("tested_group") == F.col("_tg"), "left")

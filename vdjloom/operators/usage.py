@@ -10,20 +10,20 @@ from vdjloom.functions.text import pct
 _KEY = ["group_id", "primer", "segment"]
 
 
-def _join_on(keys: list[str], prefix: str = "_") -> Column:
+def _join_on(keys: list[str], prefix: str = "__") -> Column:
     c = F.lit(True)
     for k in keys:
         c = c & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
     return c
 
 
-def _as(df: DataFrame, keys: list[str], prefix: str = "_") -> DataFrame:
+def _as(df: DataFrame, keys: list[str], prefix: str = "__") -> DataFrame:
     return df.select(*(F.col(k).alias(f"{prefix}{k}") for k in keys), *(c for c in df.columns if c not in keys))
 
 
 def demote_duplicates(records: DataFrame, keys: list[str]) -> DataFrame:
     """Records of a key that occurs more than once become ineligible (eligible = 0)."""
-    twice = records.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_n"))
+    twice = records.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_n"))
     return records.join(twice, _join_on(keys), "left").withColumn("eligible", F.when(F.col("_n") > 1, 0).otherwise(F.col("eligible"))).select(*records.columns)
 
 
@@ -59,13 +59,13 @@ def gene_usage(counts: DataFrame, reference: DataFrame | None = None, primers: D
     else:
         ref = reference.select("group_id", "segment", "gene").distinct()
         dense = primers.select("group_id", "primer").distinct().join(ref, "group_id").select(*_KEY, "gene").withColumn("_in", F.lit(1))
-        any_ = ref.select(F.col("group_id").alias("_group_id"), F.col("segment").alias("_segment")).distinct().withColumn("_available", F.lit(1))
+        any_ = ref.select(F.col("group_id").alias("__group_id"), F.col("segment").alias("__segment")).distinct().withColumn("_available", F.lit(1))
         known = _as(ref.withColumn("reference_catalog", F.lit(1)), ["group_id", "segment", "gene"])
         keys = dense.select(*_KEY, "gene").unionByName(seen).distinct()
-        keys = keys.join(any_, _join_on(["group_id", "segment"]), "left").drop("_group_id", "_segment").join(known, _join_on(["group_id", "segment", "gene"]), "left").drop("_group_id", "_segment", "_gene")
+        keys = keys.join(any_, _join_on(["group_id", "segment"]), "left").drop("__group_id", "__segment").join(known, _join_on(["group_id", "segment", "gene"]), "left").drop("__group_id", "__segment", "__gene")
         keys = keys.withColumn("reference_catalog", F.coalesce("reference_catalog", F.lit(0)))
     k = [*_KEY, "gene"]
-    x = keys.join(_as(per, k), _join_on(k), "left").drop(*(f"_{c}" for c in k)).join(_as(den, _KEY), _join_on(_KEY), "left").drop(*(f"_{c}" for c in _KEY))
+    x = keys.join(_as(per, k), _join_on(k), "left").drop(*(f"__{c}" for c in k)).join(_as(den, _KEY), _join_on(_KEY), "left").drop(*(f"__{c}" for c in _KEY))
     uq, am, de = F.coalesce("unique_count", F.lit(0)), F.coalesce("ambiguous_count", F.lit(0)), F.coalesce("denominator", F.lit(0))
     status = (
         F.when((F.col("reference_catalog") == 0) & (F.coalesce("_available", F.lit(0)) == 1) & (uq + am > 0), "outside_reference")
@@ -90,7 +90,7 @@ def unique_cdr3_usage(expression: DataFrame, aa_counts: DataFrame, groups_with_f
     den = per.groupBy(*_KEY).agg(F.sum("_u").alias("_d"))
     k = [*_KEY, "gene"]
     e = expression.join(groups_with_field.select("group_id").distinct(), "group_id", "left_semi").select(*k, "reference_catalog", "status")
-    x = e.join(_as(per, k), _join_on(k), "left").drop(*(f"_{c}" for c in k)).join(_as(den, _KEY), _join_on(_KEY), "left")
+    x = e.join(_as(per, k), _join_on(k), "left").drop(*(f"__{c}" for c in k)).join(_as(den, _KEY), _join_on(_KEY), "left")
     uq, am, de = F.coalesce("_u", F.lit(0)), F.coalesce("_a", F.lit(0)), F.coalesce("_d", F.lit(0))
     return x.select(*k, uq.alias("unique_count"), am.alias("ambiguous_count"), de.alias("denominator"), F.when(de > 0, pct(uq, de)).alias("percent"), "reference_catalog", "status")
 
