@@ -10,6 +10,7 @@ median of its sentences' scores, so a few sentences of another register do not m
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,23 +29,25 @@ FULL_SENTENCE = 8  # words from which a sentence has full weight in the median
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _HAN_RUN = re.compile(r"[㐀-䶿一-鿿豈-﫿]+")
-_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\s*\n\s*")
-_MARK = re.compile(r"^\s*(?:[-*•+>#]+|\(?\d{1,4}[.)、]|\(?[a-zA-Z][.)])\s+")
-_NOT_PROSE = re.compile(r"^\s*(?:\|.*|[-=_*#|:\s]+|\[[^\]]*\]\s*\w+=.*|[ACGTUNacgtun\s]{8,}|[^\W\d_]*\d*(?:\t\S+)+)\s*$")
-_CODE = re.compile(r"[^\s]*[\d_/=\\][^\s]*")
+_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+_MARK = re.compile(r"(?:[-*•+>#]+|\(?\d{1,4}[.)、]|\(?[a-zA-Z][.)])\s+")
+_NOT_PROSE = re.compile(r"\|.*|[-=_*#|:\s]+|\[[^\]]*\]\s*\w+=.*|[ACGTUNacgtun\s]{8,}|[^\W\d_]*\d*(?:\t\S+)+")
+_CODE = re.compile(r"[\d_/=\\]")  # in names of files, genes and samples
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text's prose, without list marks. Null or blank: none."""
-    out = []
+def _prose(text: str | None) -> Iterator[str]:
+    """The candidate sentences of a text: prose lines without list marks, cut at sentence ends."""
     for line in (text or "").splitlines():
-        if not line.strip() or _NOT_PROSE.match(line):
-            continue
-        for s in _END.split(_MARK.sub("", line)):
-            s = s.strip() if s else ""
-            if s and (_HAN.search(s) or len(_WORD.findall(s)) >= 2):
-                out.append(s)
-    return out
+        line = line.strip()
+        if line and not _NOT_PROSE.fullmatch(line):
+            for s in _END.split(_MARK.sub("", line, count=1) if _MARK.match(line) else line):
+                if s:
+                    yield s.strip()
+
+
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text's prose: at least two words, or any Chinese. Null or blank: none."""
+    return [s for s in _prose(text) if _HAN.search(s) or len(_WORD.findall(s)) >= 2]
 
 
 def is_chinese(text: str | None) -> bool:
@@ -70,49 +73,58 @@ def _cached(word: str) -> int:
     return s
 
 
-def sentence_features(s: str) -> tuple[list[float], list[int]]:
-    """Syntax values and the slots of the vocabulary of one sentence. Upper and lower case are one."""
-    low = s.lower()
-    runs = _HAN_RUN.findall(low)
-    n_han = sum(map(len, runs))
-    zh = n_han > 0 and 2 * n_han >= sum(c.isalpha() for c in low) - n_han
-    plain = _CODE.sub(" ", low)  # names of files, genes and samples are no vocabulary
-    if zh:
-        units = [r[i : i + 2] for r in runs for i in range(max(1, len(r) - 1))]
-        size = n_han
-        lengths = [len(x) for x in re.split(r"[，、；：。！？,;\s]+", low) if x] or [0]
-        heavy = [len(r) for r in runs] or [0]
-    else:
-        units = _WORD.findall(plain)
-        size = len(units)
-        lengths = [len(x) for x in units] or [0]
-        heavy = lengths
-    n = max(1, len(lengths))
-    commas = sum(low.count(c) for c in ",;:，；、：")
-    mean = sum(lengths) / n
-    base = [
-        min(size, 80) / 20, np.log1p(size), mean / 8, max(heavy) / 16,
+def _shape(lengths: list[int], size: int, heaviest: int, commas: int, distinct: int, units: int) -> list[float]:
+    n = len(lengths) or 1
+    return [
+        min(size, 80) / 20, math.log1p(size), sum(lengths) / n / 8, heaviest / 16,
         sum(x >= 7 for x in lengths) / n, sum(x >= 10 for x in lengths) / n, sum(x >= 13 for x in lengths) / n,
-        commas / 4, len(set(units)) / max(1, len(units)),
+        commas / 4, distinct / (units or 1),
     ]
-    syntax = [0.0] * SYNTAX
-    at = SYNTAX // 2 if zh else 0  # Chinese has weights of its own
-    syntax[at : at + len(base)] = base
-    return syntax, [_cached(u) for u in units]
+
+
+_NO_SHAPE = [0.0] * (SYNTAX // 2)
+_PUNCTUATION = re.compile(r"[,;:，；、：]")
+_CLAUSE = re.compile(r"[，、；：。！？,;\s]+")
+
+
+def _parts(s: str) -> tuple[bool, list[float], list[str]] | None:
+    """(Chinese?, syntax values, words or character pairs) of a sentence; None if it is none.
+    Upper and lower case are one; names of files, genes and samples are no vocabulary."""
+    low = s.lower()
+    runs = _HAN_RUN.findall(low) if not low.isascii() else []
+    words = _WORD.findall(" ".join([t for t in low.split() if not _CODE.search(t)]) if _CODE.search(low) else low)
+    if runs:
+        n_han = sum(map(len, runs))
+        if 2 * n_han >= sum(c.isalpha() for c in low) - n_han:
+            units = [r[i : i + 2] for r in runs for i in range(max(1, len(r) - 1))]
+            clauses = [len(x) for x in _CLAUSE.split(low) if x] or [0]
+            return True, _shape(clauses, n_han, max(map(len, runs)), len(_PUNCTUATION.findall(low)), len(set(units)), len(units)), units
+    elif len(words) < 2 and len(_WORD.findall(low)) < 2:
+        return None
+    lengths = list(map(len, words))
+    return False, _shape(lengths, len(words), max(lengths, default=0), len(_PUNCTUATION.findall(low)), len(set(words)), len(words)), words
+
+
+def sentence_features(s: str) -> tuple[list[float], list[int]] | None:
+    """The syntax values and the vocabulary slots of a sentence (Chinese has weights of its own for
+    its syntax); None for a text that is no sentence."""
+    p = _parts(s)
+    if p is None:
+        return None
+    zh, shape, units = p
+    return (_NO_SHAPE + shape if zh else shape + _NO_SHAPE), [_cached(u) for u in units]
 
 
 def document_features(text: str | None) -> np.ndarray | None:
     """The mean of the sentences' features; None where there is no prose."""
-    ss = sentences(text)
-    if not ss:
-        return None
-    x = np.zeros(SYNTAX + VOCABULARY, np.float32)
-    for s in ss:
-        syn, slots = sentence_features(s)
-        x[:SYNTAX] += syn
-        if slots:
-            np.add.at(x, np.asarray(slots) + SYNTAX, 1.0 / len(slots))
-    return x / len(ss)
+    x, n = np.zeros(SYNTAX + VOCABULARY, np.float32), 0
+    for f in map(sentence_features, _prose(text)):
+        if f is not None:
+            n += 1
+            x[:SYNTAX] += f[0]
+            if f[1]:
+                np.add.at(x, np.asarray(f[1]) + SYNTAX, 1.0 / len(f[1]))
+    return x / n if n else None
 
 
 def weighted_median(x: np.ndarray, weight: np.ndarray) -> float:
@@ -132,19 +144,39 @@ class ReadingModel:
     n_documents: int
     n_pairs: int
 
+    def scorer(self):
+        """A function from a text to the weighted median score of its sentences, or None without prose; a
+        sentence of a few words (a greeting) weighs less than a full one. It keeps the weights of the
+        words it has met, up to a bound."""
+        half = SYNTAX // 2
+        plain, chinese = self.weights[:half].tolist(), self.weights[half:SYNTAX].tolist()
+        value = self.weights[SYNTAX:].tolist()
+        known: dict[str, float] = {}
+
+        def score(text: str | None) -> float | None:
+            out, size = [], []
+            for s in _prose(text):
+                p = _parts(s)
+                if p is None:
+                    continue
+                zh, shape, units = p
+                total = 0.0
+                for u in units:
+                    w = known.get(u)
+                    if w is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        w = known[u] = value[_slot(u)]
+                    total += w
+                syntax = sum(a * b for a, b in zip(chinese if zh else plain, shape))
+                out.append(syntax + (total / len(units) if units else 0.0))
+                size.append(min(len(units), FULL_SENTENCE))
+            return weighted_median(np.array(out), np.array(size, float)) if out else None
+
+        return score
+
     def score(self, text: str | None) -> float | None:
-        """The median score of the sentences; one of a few words (a greeting) weighs less than a full one."""
-        ss = sentences(text)
-        if not ss:
-            return None
-        w = self.weights[:SYNTAX].tolist()
-        v = self.weights[SYNTAX:]
-        out, size = [], []
-        for s in ss:
-            syn, slots = sentence_features(s)
-            out.append(sum(a * b for a, b in zip(w, syn)) + (float(v[slots].mean()) if slots else 0.0))
-            size.append(min(len(slots), FULL_SENTENCE))
-        return weighted_median(np.array(out), np.array(size, float))
+        return self.scorer()(text)
 
     def level(self, score: float) -> int:
         return 1 + sum(int(np.interp(score, x, y) >= 0.5) for x, y in self.edges)
@@ -232,7 +264,7 @@ def _sentence_bytes(text: str | None) -> bytes:
     """The features of a text's sentences, packed: what its score needs, without the text."""
     import pickle
 
-    return pickle.dumps([(np.float32(a), np.asarray(b, np.int16)) for a, b in map(sentence_features, sentences(text))])
+    return pickle.dumps([(np.float32(a), np.asarray(b, np.int16)) for a, b in filter(None, map(sentence_features, _prose(text)))])
 
 
 def _score_bytes(model: ReadingModel, packed: bytes) -> float:
@@ -253,8 +285,9 @@ def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
     (a few tens of KB, whatever the corpus) goes to the tasks with the function."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = model.scorer()
         for p in parts:
-            score = [model.score(t) for t in p["text"]]
+            score = list(map(scorer, p["text"]))
             yield pd.DataFrame({
                 "doc_id": p["doc_id"],
                 "n_text": [len(t) if t else 0 for t in p["text"]],
