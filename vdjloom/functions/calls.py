@@ -21,15 +21,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _names(c: Column, separators: str) -> Column:
-    items = F.transform(F.split(c, separators), strip)
-    good = F.filter(items, lambda x: ~F.upper(x).isin(*BAD_CALLS))
-    return F.array_sort(F.array_distinct(F.transform(good, lambda x: F.split(x, r"\*")[0])))
+def _names(c: Column, separators: str, upper: bool = False) -> Column:
+    """The genes of a list cut at any of the separator characters. Most calls name one gene: those
+    stay within generated code, only real lists go through the array functions."""
+    one = strip(c)
+    bad = lambda x: F.upper(x).isin(*BAD_CALLS)
+    case = F.upper if upper else lambda x: x
+    gene = lambda x: case(F.substring_index(x, "*", 1))
+    alone = F.lit(True)
+    for mark in separators:
+        alone = alone & (F.instr(c, mark) == 0)
+    items = F.transform(F.split(c, f"[{separators}]"), strip)
+    several = F.array_sort(F.array_distinct(F.transform(F.filter(items, lambda x: ~bad(x)), gene)))
+    single = F.when(bad(one), F.array().cast("array<string>")).otherwise(F.array(gene(one)))
+    return F.when(alone, single).otherwise(several)
 
 
 def calls(c: Column | str) -> Column:
     """the distinct genes of a call list, sorted, without alleles; empty array for none or null."""
-    return F.coalesce(_names(_col(c), "[,;]"), F.array().cast("array<string>"))
+    return F.coalesce(_names(_col(c), ",;"), F.array().cast("array<string>"))
 
 
 def assignment(genes: Column) -> Column:
@@ -46,13 +56,13 @@ def unique_gene(c: Column | str) -> Column:
 
 def normal_gene(c: Column | str) -> Column:
     """upper-case genes joined by a bar; '' for none or null."""
-    g = _names(F.upper(strip(_col(c))), "[,;|]")
+    g = _names(_col(c), ",;|", upper=True)
     return F.coalesce(F.array_join(g, "|"), F.lit(""))
 
 
 def normal_nt(c: Column | str) -> Column:
     """upper-case nucleotides without white space, '-' and '.'; '' for null."""
-    return F.coalesce(F.regexp_replace(F.upper(_col(c)), r"[\s.\-]", ""), F.lit(""))
+    return F.coalesce(F.translate(F.upper(_col(c)), " \t\n\x0b\f\r.-", ""), F.lit(""))
 
 
 def isotype(c: Column | str) -> Column:

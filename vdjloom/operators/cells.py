@@ -49,38 +49,35 @@ def cluster_chains(df: DataFrame, cell: list[str], order: str, max_chains: int =
     cluster gives its first variant, and the second if supported; umi_counts is the variant's.
     `order`: a column with the row's place in its source; it settles ties.
 
-    All windows are by cell or by parts of a cell: rows are first reduced to one per variant,
-    so a hot cell is its variants, not its rows.
+    Rows are first reduced to one per variant with map-side combine, so a hot cell is its variants,
+    not its rows. Variants are then placed by cell and locus once; every window after that (by
+    cluster, by cell) is served by that placement, and clusters are never joined back.
     """
     rows = with_keys(df)
     cl = [*cell, "locus", "_v", "_j", "_cdr3"]
     q = ["_cov", "_score", "_identity", "_len"]
     best = F.max(F.struct(*q, (-F.col(order)).alias("_o"), *(c for c in ("v_call", "j_call", "c_call", "cdr3", "cdr3_aa", "sequence") if c in df.columns)))
     v = rows.groupBy(*cl, "_variant").agg(best.alias("b"), F.sum("umi_counts").alias("support"), F.min(order).alias("_first"))
-    by_cluster = Window.partitionBy(*cl)
-    v_order = [F.desc("support"), F.desc("b._cov"), F.desc("b._score"), F.desc("b._identity"), F.desc("b._len"), F.desc("b._o")]
-    v = v.withColumn("variant_rank", F.row_number().over(by_cluster.orderBy(*v_order))).withColumn("_top", F.first("support").over(by_cluster.orderBy(*v_order)))
-    c = v.groupBy(*cl).agg(
-        F.sum("support").alias("cluster_support"), F.max(F.struct("b._cov", "b._score", "b._identity", "b._len")).alias("q"), F.min("_first").alias("_first"), F.count(F.lit(1)).alias("all_variants"),
-        F.max(F.when(F.col("variant_rank") == 1, F.col("support"))).alias("_s1"), F.max(F.when(F.col("variant_rank") == 2, F.col("support"))).alias("_s2"),
-        F.max(F.when(F.col("variant_rank") == 1, F.col("b.v_call"))).alias("v_call"), F.max(F.when(F.col("variant_rank") == 1, F.col("b.j_call"))).alias("j_call"), F.max(F.when(F.col("variant_rank") == 1, F.col("b.cdr3"))).alias("cdr3"),
-    )
-    by_cell = Window.partitionBy(*cell, "locus").orderBy(F.desc("cluster_support"), F.desc("q._cov"), F.desc("q._score"), F.desc("q._identity"), F.desc("q._len"), F.asc("_first"))
-    c = c.withColumn("chain_rank", F.row_number().over(by_cell)).withColumn("_cell_top", F.first("cluster_support").over(by_cell))
-    ok = supported(F.col("_cell_top"), F.col("cluster_support"))
+    v = v.repartition(*(F.col(c) for c in (*cell, "locus")))
+    cluster = Window.partitionBy(*cl)
+    ranked = cluster.orderBy(F.desc("support"), *(F.desc(f"b.{c}") for c in q), F.desc("b._o"))
+    v = v.withColumn("variant_rank", F.row_number().over(ranked))
+    at = lambda k, c: F.max(F.when(F.col("variant_rank") == k, F.col(c))).over(cluster)
+    v = v.withColumns({
+        "_support": F.sum("support").over(cluster), "_q": F.max(F.struct(*(F.col(f"b.{c}") for c in q))).over(cluster), "_start": F.min("_first").over(cluster),
+        "all_variants": F.count(F.lit(1)).over(cluster), "_s1": at(1, "support"), "_s2": at(2, "support"),
+    })
+    by_cell = Window.partitionBy(*cell, "locus").orderBy(F.desc("_support"), *(F.desc(f"_q.{c}") for c in q), F.asc("_start"), "_v", "_j", "_cdr3")
+    v = v.withColumn("chain_rank", F.dense_rank().over(by_cell)).withColumn("_top", F.first("_support").over(by_cell))
     reason = (
         F.when((F.col("chain_rank") == 1) & F.lit(max_chains > 0), "PRIMARY").when(F.col("chain_rank") > max_chains, "EXCESS_CHAIN_CANDIDATE")
-        .when(ok, "SECONDARY_SUPPORTED").otherwise("SECONDARY_DOMINATED")
+        .when(supported(F.col("_top"), F.col("_support")), "SECONDARY_SUPPORTED").otherwise("SECONDARY_DOMINATED")
     )
-    c = c.withColumn("retention_reason", reason).withColumn("retained", F.col("retention_reason").isin("PRIMARY", "SECONDARY_SUPPORTED"))
+    v = v.withColumn("retention_reason", reason).withColumn("retained", F.col("retention_reason").isin("PRIMARY", "SECONDARY_SUPPORTED"))
     second = F.coalesce(supported(F.col("_s1"), F.col("_s2")), F.lit(False)) & F.lit(max_variants > 1)
-    c = c.withColumn("output_variants", F.when(~F.col("retained") | F.lit(max_variants < 1), 0).when(second, 2).otherwise(1))
-    summary = c.select(*cell, "locus", "chain_rank", "v_call", "j_call", "cdr3", F.col("cluster_support").alias("cluster_umi_counts"), "all_variants", "output_variants", "retained", "retention_reason")
-    k = c.filter("output_variants > 0").select(*(F.col(x).alias(f"k{x}") for x in cl), "chain_rank", "output_variants")
-    same = F.lit(True)
-    for x in cl:
-        same = same & F.col(x).eqNullSafe(F.col(f"k{x}"))
-    chains = v.join(k, same).filter(F.col("variant_rank") <= F.col("output_variants")).select(*cell, "locus", "chain_rank", "variant_rank", "b.v_call", "b.j_call", "b.cdr3", F.col("b.sequence").alias("sequence"), F.col("support").alias("umi_counts"))
+    v = v.withColumn("output_variants", F.when(~F.col("retained") | F.lit(max_variants < 1), 0).when(second, 2).otherwise(1))
+    summary = v.filter("variant_rank = 1").select(*cell, "locus", "chain_rank", "b.v_call", "b.j_call", "b.cdr3", F.col("_support").alias("cluster_umi_counts"), "all_variants", "output_variants", "retained", "retention_reason")
+    chains = v.filter(F.col("variant_rank") <= F.col("output_variants")).select(*cell, "locus", "chain_rank", "variant_rank", "b.v_call", "b.j_call", "b.cdr3", F.col("b.sequence").alias("sequence"), F.col("support").alias("umi_counts"))
     return chains, summary
 
 

@@ -65,8 +65,9 @@ def _per_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    one = eager.heavy(_per_sample(spark, d)).select(F.lit("sample_key").alias("field_name"), "key_value")
-    return one.unionByName(eager.heavy(_per_identity(spark, d)).select(F.lit("identity_key").alias("field_name"), "key_value"))
+    # the per-key results are written whole: else the optimizer would drop the joins, as naming keys needs their left counts only
+    one = eager.heavy(settle(_per_sample(spark, d))).select(F.lit("sample_key").alias("field_name"), "key_value")
+    return one.unionByName(eager.heavy(settle(_per_identity(spark, d))).select(F.lit("identity_key").alias("field_name"), "key_value"))
 
 
 def p4_per_sample(spark: SparkSession, d: str) -> DataFrame:
