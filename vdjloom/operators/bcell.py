@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,60 +55,97 @@ def switch_pairs(df: DataFrame, frame: list[str], weight: str = "umi_counts") ->
 
 # --- somatic hypermutation ---------------------------------------------------------------------
 
-# The scores of the global alignment.
-MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2.0, -1.0, -2.0, -0.5
-
-
-@lru_cache(maxsize=8192)
-def align(seq: str, germline: str) -> tuple[int, int, int, int, float]:
-    """(mismatches, insertions, deletions, total, ratio) of the best global alignment with
-    affine gaps. Among equally good alignments the traceback prefers, from the end, a pair of
-    characters, then a gap in the sequence, then one in the germline. '-' is a character of the
-    input like any other; it is classified after aligning: '-' against a base is a deletion, a
-    base against '-' an insertion, '-' against '-' nothing."""
-    n, m = len(seq), len(germline)
-    a, b = np.frombuffer(seq.encode("utf-32-le"), np.uint32), np.frombuffer(germline.encode("utf-32-le"), np.uint32)
-    low = -1e15
-    # states: 0 pair, 1 gap in seq (germline character alone), 2 gap in germline
-    S = np.full((3, n + 1, m + 1), low)
-    S[0, 0, 0] = 0.0
-    if m:
-        S[1, 0, 1:] = GAP_OPEN + GAP_EXTEND * np.arange(m)
-    if n:
-        S[2, 1:, 0] = GAP_OPEN + GAP_EXTEND * np.arange(n)
-    steps = np.arange(1, m + 1) * GAP_EXTEND
+# The scores of the global alignment, doubled so that they are whole numbers
+# (match 2, mismatch -1, opening a gap -2, extending it -0.5).
+MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 4, -2, -4, -1
+BATCH_CELLS = 3_000_000  # cells of the tables that are filled at once
+
+
+def _tables(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Best scores S[state, i, pair, j] of all prefixes of all pairs, row by row for the whole batch. States: 0 a pair of
+    characters, 1 a germline character alone (gap in the sequence), 2 a sequence character alone."""
+    n, m, k = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs), len(pairs)
+    a, b = np.zeros((n, k), np.uint32), np.ones((k, m), np.uint32)  # the padding never matches
+    for x, (s, g) in enumerate(pairs):
+        a[: len(s), x] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        b[x, : len(g)] = np.frombuffer(g.encode("utf-32-le"), np.uint32)
+    low = np.int32(-(10**8))
+    S = np.full((3, n + 1, k, m + 1), low, np.int32)
+    S[0, 0, :, 0] = 0
+    S[1, 0, :, 1:] = GAP_OPEN + GAP_EXTEND * np.arange(m, dtype=np.int32)
+    steps = np.arange(1, m + 1, dtype=np.int32) * GAP_EXTEND
     for i in range(1, n + 1):
-        best = S[:, i - 1].max(axis=0)
-        S[0, i, 1:] = best[:-1] + np.where(a[i - 1] == b, MATCH, MISMATCH) if m else 0
-        S[2, i, 1:] = np.maximum(np.maximum(S[0, i - 1, 1:], S[1, i - 1, 1:]) + GAP_OPEN, S[2, i - 1, 1:] + GAP_EXTEND)
-        if m:  # gaps along the row: the best opening so far, by a running maximum
-            opening = np.maximum(S[0, i, :-1], S[2, i, :-1]) + GAP_OPEN - steps
-            S[1, i, 1:] = np.maximum.accumulate(opening) + steps
-    i, j, mm, ins, dele, both = n, m, 0, 0, 0, 0
-    state = int(np.argmax(S[:, n, m]))
+        P, Q, R = S[0, i - 1], S[1, i - 1], S[2, i - 1]
+        PQ = np.maximum(P, Q)
+        S[0, i, :, 1:] = np.maximum(PQ, R)[:, :-1] + np.where(a[i - 1][:, None] == b, np.int32(MATCH), np.int32(MISMATCH))
+        S[2, i] = np.maximum(PQ + GAP_OPEN, R + GAP_EXTEND)
+        # gaps along the row: the best opening so far, by a running maximum
+        opening = np.maximum(S[0, i, :, :-1], S[2, i, :, :-1]) + GAP_OPEN - steps
+        S[1, i, :, 1:] = np.maximum.accumulate(opening, axis=1) + steps
+    return S
+
+
+def _trace(S: np.ndarray, seq: str, germline: str) -> tuple[int, int, int, int, float]:
+    i, j, mm, ins, dele, both = len(seq), len(germline), 0, 0, 0, 0
+    P, Q, R = S
+    best = lambda: max((P[i, j], 0), (Q[i, j], -1), (R[i, j], -2))[1]
+    state = -best()
     while i or j:
         x, y = (seq[i - 1] if state != 1 else "-"), (germline[j - 1] if state != 2 else "-")
-        if x == "-" and y != "-":
-            dele += 1
-        elif x != "-" and y == "-":
+        if x == "-":
+            dele += y != "-"
+        elif y == "-":
             ins += 1
-        elif x != y:
-            mm += 1
-        both += x != "-" and y != "-"
+        else:
+            both += 1
+            mm += x != y
         here = S[state, i, j]
         if state == 0:
             i, j = i - 1, j - 1
-            state = int(np.argmax(S[:, i, j]))
+            state = -best()
         elif state == 1:
             j -= 1
-            state = 0 if S[0, i, j] + GAP_OPEN == here else 2 if S[2, i, j] + GAP_OPEN == here else 1
+            state = 0 if P[i, j] + GAP_OPEN == here else 2 if R[i, j] + GAP_OPEN == here else 1
         else:
             i -= 1
-            state = 0 if S[0, i, j] + GAP_OPEN == here else 1 if S[1, i, j] + GAP_OPEN == here else 2
+            state = 0 if P[i, j] + GAP_OPEN == here else 1 if Q[i, j] + GAP_OPEN == here else 2
     total, base = mm + ins + dele, both + ins + dele
     return mm, ins, dele, total, (total / base if base else 0.0)
 
 
+def align_all(pairs: list[tuple[str, str]]) -> list[tuple[int, int, int, int, float]]:
+    """(mismatches, insertions, deletions, total, ratio) of each pair's best global alignment with affine gaps.
+
+    Among equally good alignments the traceback prefers, from the end, a pair of characters, then a
+    gap in the sequence, then one in the germline. '-' is a character of the input like any other;
+    it is classified after aligning: '-' against a base is a deletion, a base against '-' an insertion, '-'
+    against '-' nothing. Equal texts, and texts of one length with one difference, have no better
+    alignment than character by character. The others fill their tables together, in batches of like length.
+    """
+    out: list = [None] * len(pairs)
+    todo = []
+    for k, (s, g) in enumerate(pairs):
+        if len(s) == len(g) and sum(map(str.__ne__, s, g)) <= 1:
+            kept = [(x, y) for x, y in zip(s, g) if x != "-" or y != "-"]
+            dele, ins = sum(x == "-" for x, _ in kept), sum(y == "-" for _, y in kept)
+            mm = sum(x != y for x, y in kept) - dele - ins
+            out[k] = (mm, ins, dele, mm + ins + dele, (mm + ins + dele) / len(kept) if kept else 0.0)
+        else:
+            todo.append(k)
+    todo.sort(key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    while todo:
+        size = max(1, BATCH_CELLS // (3 * (len(pairs[todo[-1]][0]) + 1) * (max(len(pairs[k][1]) for k in todo[-512:]) + 1)))
+        now, todo = todo[-min(size, 512) :], todo[: -min(size, 512)]
+        S = _tables([pairs[k] for k in now])
+        for x, k in enumerate(now):
+            out[k] = _trace(S[:, :, x, :], *pairs[k])
+    return out
+
+
+def align(seq: str, germline: str) -> tuple[int, int, int, int, float]:
+    return align_all([(seq, germline)])[0]
+
+
 _SHM = "mismatch int, insertion int, deletion int, shm int, ratio double"
 
 
@@ -119,7 +155,7 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [align(s, g) for s, g in zip(p["seq"], p["germline"])]
+            out = align_all(list(zip(p["seq"], p["germline"])))
             r = pd.DataFrame(out, columns=["mismatch", "insertion", "deletion", "shm", "ratio"])
             yield pd.concat([p.reset_index(drop=True), r], axis=1)
 
