@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
         return have.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vdjloom-")
     sc.setCheckpointDir(path)

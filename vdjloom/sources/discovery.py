@@ -79,7 +79,7 @@ def read_pairs(files: DataFrame) -> DataFrame:
     return g.select("pair_id", sid.alias("sample_id"), ok("r1", "_1").alias("r1"), ok("r2", "_2").alias("r2"), (error == "").alias("valid"), error.alias("error"))
 
 
-def discover_results(files: DataFrame, summary: str = r"(chain_summary\.csv|igblast_summary\.tsv)$", table_: str = r"(?i)\.(csv|tsv)(\.gz)?$") -> DataFrame:
+def discover_results(files: DataFrame, summary: str = r"_summary\.(csv|tsv)$", table_: str = r"(?i)\.(csv|tsv)(\.gz)?$") -> DataFrame:
     """Per folder its summary if there is one (the first by name), else every table in it; with the chain that the
     file's name or folder tells, if any."""
     d = F.regexp_extract("relative", r"^(.*/)?[^/]*$", 1)
