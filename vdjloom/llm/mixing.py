@@ -6,6 +6,7 @@ part is given; for the rest, documents meet in pairs and move size between their
 probabilities, at random but keeping both expectations and the pair's total size, until one
 is integral. Each task keeps one unsettled document per source; these residuals meet in a
 reduction tree, so a source's final size differs from its target by one document at most.
+Documents meet in order of falling size, so that the one left open at the end is a small one.
 """
 
 from __future__ import annotations
@@ -114,12 +115,12 @@ def mix(sizes: DataFrame, targets: DataFrame, settle, seed: int = 11) -> DataFra
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))).alias("u")
     rows = docs.select(F.col("source_key").alias("source"), "doc_id", F.col("n_tokens").alias("tokens"), F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("p"), u)
     schema = f"source string, doc_id {kind}, tokens bigint, copies int, p double, u double"
-    level = settle(rows.mapInPandas(_round, schema).withColumn("node", F.spark_partition_id()))
+    level = settle(rows.sortWithinPartitions(F.desc("tokens"), "doc_id").mapInPandas(_round, schema).withColumn("node", F.spark_partition_id()))
     done, nodes = level.filter("p = 0").select(*_COLS), max(1, level.agg(F.max("node")).first()[0] or 0) + 1
     open_ = level.filter("p > 0")
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("u")
+        p = p.sort_values(["tokens", "u"], ascending=[False, True])
         return pd.DataFrame(list(_settle(p[_COLS].itertuples(index=False, name=None))), columns=_COLS).assign(node=p["node"].iloc[0])
 
     while nodes > 1:
