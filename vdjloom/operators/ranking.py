@@ -68,3 +68,14 @@ def search(df: DataFrame, text: str, columns: list[str] | None = None) -> DataFr
     """rows in which any column contains the text, upper and lower case being one."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns or df.columns]
     return df.filter(F.contains(F.lower(F.concat_ws(" ", *cols)), F.lower(F.lit(text))))
+
+
+def sequential_ids(df: DataFrame, order: list[Column], first: int = 1, name: str = "new_id") -> DataFrame:
+    """Df with consecutive ids from `first` on, in the given order; no task holds the whole table (see running())."""
+    one = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_all", F.lit(0))
+    return running(one, ["_all"], order, "_one", name, "_sum").withColumn(name, F.col(name) + (first - 1)).drop("_one", "_all", "_sum")
+
+
+def add_counts(old: DataFrame, new: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Counters brought up to date: the new counts added to the old ones of their keys."""
+    return old.select(*keys, count).unionByName(new.select(*keys, count)).groupBy(*keys).agg(F.sum(count).alias(count))

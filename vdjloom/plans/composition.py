@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vdjloom.functions import calls as C
 from vdjloom.functions import headers as H
 from vdjloom.functions.text import pct
+from vdjloom.functions.values import utc_time, valid_sequence
 from vdjloom.operators import bcell, lineage, matching, primers, ranking, stages, umi, usage
 from vdjloom.plans import roles
 from vdjloom.plans.repertoire import rounded
@@ -640,6 +641,36 @@ def group_shares(s: S, d: str) -> DataFrame:
     return rounded(g.withColumn("percent", pct(F.col("copies"), g.agg(F.sum("copies")).scalar())))
 
 
+@query("""with j as (select distinct id, created_at, ended_at from jobs), t as (select id, try_cast(replace(created_at, 'Z', '+00:00') as timestamptz) as a, try_cast(replace(ended_at, 'Z', '+00:00') as timestamptz) as b,
+  try_cast(created_at as timestamp) as c, try_cast(ended_at as timestamp) as d, regexp_matches(created_at, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') as za, regexp_matches(ended_at, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') as zb from j),
+  u as (select id, case when za then timezone('UTC', a) else c end as s, case when zb then timezone('UTC', b) else d end as e from t) select id, strftime(s, '%Y-%m-%d %H:%M:%S') as started, cast(date_diff('second', s, e) as bigint) as seconds from u""")
+def job_durations(s: S, d: str) -> DataFrame:
+    """Text times in several forms, as UTC"""
+    j = table(s, d, "jobs").select("id", "created_at", "ended_at").distinct().select("id", utc_time("created_at").alias("a"), utc_time("ended_at").alias("b"))
+    return j.select("id", F.date_format("a", "yyyy-MM-dd HH:mm:ss").alias("started"), F.timestamp_diff("SECOND", "a", "b").alias("seconds"))
+
+
+@query("""with r as (select distinct id, weight from composition_records where weight > 0 and sample_record = 1) select id, weight, cast(row_number() over (order by weight desc, id) + 99 as bigint) as new_id from r""")
+def sequential_ids(s: S, d: str) -> DataFrame:
+    """R15"""
+    r = table(s, d, "composition_records").filter("weight > 0 and sample_record = 1").select("id", "weight").distinct()
+    return ranking.sequential_ids(r, [F.desc("weight"), F.asc("id")], 100)
+
+
+@query("""with g as (select sample_key, match_class, count(*) as n from observations where sample_key is not null group by 1, 2) select sample_key, match_class, n from g""")
+def counter_upserts(s: S, d: str) -> DataFrame:
+    """X06"""
+    o = table(s, d, "observations").filter("sample_key is not null")
+    part = lambda k: o.filter(f"id % 2 = {k}").groupBy("sample_key", "match_class").agg(F.count(F.lit(1)).alias("n"))
+    return ranking.add_counts(part(0), part(1), ["sample_key", "match_class"])
+
+
+@query("with o as (select distinct sequence from observations) select sequence, coalesce(regexp_matches(upper(sequence), '^[ACGT]+$'), false) as plain, coalesce(regexp_matches(upper(sequence), '^[ACGTRYSWKMBDHVNU]+$'), false) as iupac from o")
+def sequence_validity(s: S, d: str) -> DataFrame:
+    """Y10"""
+    return table(s, d, "observations").select("sequence").distinct().select("sequence", valid_sequence("sequence", "acgt").alias("plain"), valid_sequence("sequence").alias("iupac"))
+
+
 # --- event windows (extension) ------------------------------------------------------------------
 
 
