@@ -24,12 +24,8 @@ def clone_top(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Every clone with its rank in its sample and chain (count descending, then V, J, CDR3),
     its share and the running share in percent. Samples of any size: see running()."""
     order = [F.desc("record_count"), F.asc("v_call"), F.asc("j_call"), F.asc("cdr3_aa")]
-    total = counts.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.sum("record_count").alias("_total"))
-    r = running(counts, keys, order, "record_count", "rank", "_run")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return r.join(total, same).select(
+    r = running(counts, keys, order, "record_count", "rank", "_run", "_total")
+    return r.select(
         *keys, "rank", "v_call", "j_call", "cdr3_aa", "record_count",
         pct(F.col("record_count"), F.col("_total")).alias("frequency_percent"), pct(F.col("_run"), F.col("_total")).alias("cumulative_frequency_percent"),
     )

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], value: str, rank: str = "rank", total: str = "running") -> DataFrame:
-    """df with each row's position in its group's order and the sum of `value` up to it, where
-    groups may be of any size: no task holds a whole group.
+def running(df: DataFrame, group: list[str], order: list[Column], value: str, rank: str = "rank", total: str = "running", whole: str | None = None) -> DataFrame:
+    """df with each row's position in its group's order and the sum of `value` up to it (and, as
+    `whole`, over the whole group), where groups may be of any size: no task holds a whole group.
 
     The rows are range-partitioned by group and order, numbered and summed within their
     partition's part of the group, and shifted by what the group's earlier partitions hold
@@ -26,11 +26,13 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: str, ra
     shift = sizes.select(
         *(F.col(g).alias(f"_g_{g}") for g in group), F.col("_part").alias("_p"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum_before"),
+        F.sum("_sum").over(Window.partitionBy(*group)).alias("_whole"),
     )
     same = F.col("_part") == F.col("_p")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return rows.join(shift, same).withColumn(rank, F.col("_n") + F.col("_rows_before")).withColumn(total, F.col("_s") + F.col("_sum_before")).select(*df.columns, rank, total)
+    extra = [F.col("_whole").alias(whole)] if whole else []
+    return rows.join(shift, same).select(*df.columns, (F.col("_n") + F.col("_rows_before")).alias(rank), (F.col("_s") + F.col("_sum_before")).alias(total), *extra)
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
