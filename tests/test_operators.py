@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -287,6 +288,32 @@ def test_clones_and_treemap(spark):
     assert abs(sum(b["w"] * b["h"] for b in boxes) - 10_000) < 1e-6
 
 
+def test_treemap_holds_every_clone_in_its_cell(spark):
+    counts = [("s", f"V{i % 3}", f"J{i % 2}" if i % 5 else None, f"C{i:04d}", 1 + 400 // (i + 1)) for i in range(1300)] + [("t", "V", "J", "A", 1)]
+    top = clones.clone_top(spark.createDataFrame(counts, "sample string, v_call string, j_call string, cdr3_aa string, record_count bigint"), ["sample"])
+    boxes = {(r["sample"], r["rank"]): r for r in clones.treemap_layout(top, ["sample"], 60.0, 40.0).collect()}
+    rows = top.collect()
+    assert len(boxes) == len(rows) == 1301
+    total, cells = Counter(), {}
+    for r in rows:
+        total[r["sample"]] += r["record_count"]
+    for r in rows:
+        b = boxes[r["sample"], r["rank"]]
+        assert abs(b["w"] * b["h"] - 2400 * r["record_count"] / total[r["sample"]]) < 1e-6
+        for level in ((r["v_call"],), (r["v_call"], r["j_call"])):
+            cells.setdefault((r["sample"], *level), []).append((b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"], b["w"] * b["h"]))
+    for of in cells.values():  # a V's or a V and J's clones fill one rectangle of their own
+        x, y, x2, y2, area = (f(c) for f, c in zip((min, min, max, max, sum), zip(*of)))
+        assert abs((x2 - x) * (y2 - y) - area) < 1e-6
+
+
+def test_treemap_as_the_reference_lays_it(spark):
+    top = clones.clone_top(spark.createDataFrame([("s", "V", "J", c, n) for c, n in zip("ABCDEFG", (6, 6, 4, 3, 2, 2, 1))], "sample string, v_call string, j_call string, cdr3_aa string, record_count bigint"), ["sample"])
+    got = {r["rank"]: tuple(round(r[c], 3) for c in "xywh") for r in clones.treemap_layout(top, ["sample"], 6.0, 4.0).collect()}
+    assert got[1] == (3.0, 2.0, 3.0, 2.0) and got[2] == (3.0, 0.0, 3.0, 2.0)  # worked out in the paper on squarified treemaps
+    assert got[3] == (1.286, 1.667, 1.714, 2.333) and got[4] == (0.0, 1.667, 1.286, 2.333)
+
+
 def test_empty_frames(spark):
     airr = spark.createDataFrame([], "sample string, locus string, productive string, v_call string, j_call string, c_call string, cdr3_aa string, umi_counts bigint")
     assert clones.clone_top(clones.clone_counts(airr, ["sample"]), ["sample"]).count() == 0

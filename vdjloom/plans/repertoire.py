@@ -9,6 +9,7 @@ from vdjloom.functions import calls as C
 from vdjloom.functions import headers as H
 from vdjloom.operators import bcell, cells, clones, diversity, filters, ranking, umi
 from vdjloom.plans import roles
+from vdjloom.plans.durable import settle
 from vdjloom.plans.roles import AIRR_SQL, UMI_SQL
 from vdjloom.sources import sinks
 from vdjloom.sources.tables import table
@@ -61,7 +62,7 @@ def clone_total_by_chain(s: S, d: str) -> DataFrame:
 @query()
 def treemap_layout(s: S, d: str) -> DataFrame:
     """L08"""
-    return rounded(clones.treemap_layout(clones.clone_top(_clones(s, d), ["sample", "chain"]), ["sample", "chain"]), 3)
+    return rounded(clones.treemap_layout(clones.clone_top(_clones(s, d), ["sample", "chain"]), ["sample", "chain"], settle=settle), 3)
 
 
 @query(_CLONES + """ select sample, chain, cast(row_number() over w as bigint) as rank, v_call, j_call, cdr3_aa, record_count, printf('%.8f', cast(100 as double) * record_count / sum(record_count) over p) as frequency_percent
