@@ -125,6 +125,19 @@ def test_every_combination(spark):
     assert got == {("a,b", "x", "p"): 1, ("a,b", "x", None): 1, ("a,b", "y", "p"): 1, ("a", "x", None): 2, ("a", "y", None): 1, ("b", None, "p"): 1, ("b", None, None): 1, ("", None, None): 2}
 
 
+def test_more_than_a_million_values(spark):
+    df = spark.range(2_000_000).select(F.lit("x").alias("g"), F.col("id").cast("string").alias("v"))
+    for r in bitmaps.distinct_counts(df, ["g"], "v").collect():
+        assert r["std_error"] <= 0.02 and abs(r["estimate"] - 2_000_000) <= 4 * r["std_error"] * 2_000_000
+
+
+def test_full_bitmaps_have_no_estimate(spark):
+    df = spark.range(600_000).select(F.when(F.col("id") < 9, "few").otherwise("many").alias("g"), F.col("id").cast("string").alias("v"))
+    e = {r["g"]: r for r in bitmaps.estimate(bitmaps.sketch(df, ["g"], "v"), ["g"], 1).collect()}
+    assert e["many"]["set_bits"] == bitmaps.SEGMENT_BITS and e["many"]["estimate"] is None and e["many"]["std_error"] is None
+    assert round(e["few"]["estimate"]) == 9
+
+
 @quick
 @given(st.lists(st.tuples(st.sampled_from(["a", None]), st.integers(0, 12)), max_size=80))
 def test_repeating_sets_are_exact(spark, rows):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT_BITS = 32_768  # bits of one of Spark's bitmaps (4 KB)
+LEAST_MAX = 1e6  # identifiers that bitmaps sized by a table's rows allow for at least
 
 
 def standard_error(n: float, m: int) -> float:
@@ -57,27 +58,30 @@ def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def estimate(parts: DataFrame, keys: list[str], segments: int) -> DataFrame:
     """(*keys, n_rows, set_bits, estimate, std_error): the estimate of each key's distinct
-    values and its relative standard error. set_bits never exceeds the true count."""
+    values and its relative standard error. set_bits never exceeds the true count. Where every
+    bit is set the count is beyond what the bitmap can tell: estimate and std_error are null."""
     m = segments * SEGMENT_BITS
     whole = parts.groupBy(*keys).agg(
         F.sum(F.bitmap_count("bits")).cast("bigint").alias("set_bits"), F.sum("n_rows").cast("bigint").alias("n_rows")
     )
-    empty = F.greatest(F.lit(m) - F.col("set_bits"), F.lit(0.5))
+    empty = F.when(F.col("set_bits") < m, F.lit(m) - F.col("set_bits"))
     n: Column = -F.lit(float(m)) * F.log(empty / F.lit(float(m)))
     t = n / F.lit(float(m))
-    err = F.when(n > 0, F.sqrt(F.lit(float(m)) * (F.exp(t) - t - 1)) / n).otherwise(F.lit(0.0))
+    err = F.when(n > 0, F.sqrt(F.lit(float(m)) * (F.exp(t) - t - 1)) / n).when(n <= 0, F.lit(0.0))
     return whole.select(*keys, "n_rows", "set_bits", n.alias("estimate"), err.alias("std_error"))
 
 
-def distinct_counts(df: DataFrame, dims: list[str], value: str, error: float = 0.02, n_max: float = 1e6, settle=None) -> DataFrame:
+def distinct_counts(df: DataFrame, dims: list[str], value: str, error: float = 0.02, n_max: float | None = None, settle=None) -> DataFrame:
     """Estimated distinct values for every combination of the dimensions: one row per value
     of each subset of dims, with grouping = the names of that subset ('' for the whole).
 
     The parts of the full combination are built from the rows once; every other combination
     is merged from them. settle: a function that writes the parts and reads them back.
+    n_max: the most distinct values the error holds for; by default the rows with a value (counted
+    first, and never fewer than the distinct values), or LEAST_MAX if that is more.
     Columns: grouping, *dims (null where rolled up or null itself), n_rows, set_bits, estimate, std_error.
     """
-    s = segments_for(n_max, error)
+    s = segments_for(max(LEAST_MAX, df.filter(F.col(value).isNotNull()).count()) if n_max is None else n_max, error)
     parts = sketch(df, dims, value, s)
     parts = settle(parts) if settle else parts
     out = None
