@@ -71,6 +71,25 @@ def test_pack_is_nearly_full(spark):
     check_pack(spark, sizes[:500], 2048, window=64)
 
 
+def test_fill_does_not_hang_on_partitions(spark):
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 900) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint")
+    least = -(-sum(sizes) // packing.CAPACITY)
+    for tasks in (None, 60):
+        have = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        try:
+            rows = packing.pack(df, tasks=tasks).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", have)
+        held = {}
+        for r in rows:
+            held[r["container"]] = held.get(r["container"], 0) + r["tokens"]
+        assert sorted(r["doc_id"] for r in rows) == list(range(2000)) and max(held.values()) <= packing.CAPACITY
+        assert len(held) <= least * 1.01 + 2 if tasks is None else len(held) <= least * 1.05
+
+
 def test_tokens_cut_and_joined_again():
     e = tokens.encoder()
     text = "Größe 引物 cells are small. " * 900

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 WINDOW_ITEMS = 200_000  # items whose lengths one dynamic program looks at
+TASK_CONTAINERS = 512  # containers' worth of tokens that a task is started for
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -62,7 +63,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return out
 
 
-def _pack(capacity: int, window: int):
+def _pack(capacity: int, window: int, last: str | None = None):
+    """Packs a task's rows in windows. A window's last container goes into the next window; the last of all
+    keeps no container, for a packing of the tasks' rests, unless `last` names this one's containers."""
+
     def emit(ids: list, lengths: list[int], name: str, first: int) -> tuple[pd.DataFrame, int]:
         values, where = np.unique(np.asarray(lengths), return_inverse=True)
         queue = {int(v): iter(np.flatnonzero(where == k).tolist()) for k, v in enumerate(values)}
@@ -77,20 +81,27 @@ def _pack(capacity: int, window: int):
                         offset.append(pos)
                         pos += length
                 first += 1
-        return pd.DataFrame({"at": at, "container": container, "container_offset": offset}), first
+        return pd.DataFrame({"at": at, "container": container, "container_offset": pd.array(offset, "Int64")}), first
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows, first = [], 0, 0
         from pyspark import TaskContext
 
-        name = str(TaskContext.get().partitionId())
+        name = last or str(TaskContext.get().partitionId())
 
-        def flush():
+        def flush(end: bool = False):
             nonlocal held, rows, first
             p = pd.concat(held, ignore_index=True)
             e, first = emit(None, p["tokens"].tolist(), name, first)
             held, rows = [], 0
-            return p.iloc[e["at"].to_numpy()].reset_index(drop=True).assign(container=e["container"], container_offset=e["container_offset"])
+            out = p.iloc[e["at"].to_numpy()].reset_index(drop=True).assign(container=e["container"], container_offset=e["container_offset"])
+            open_ = (e["container"] == e["container"].iloc[-1]).to_numpy()
+            if end and last is None:
+                out.loc[open_, ["container", "container_offset"]] = None
+            elif not end:
+                held = [out.loc[open_, p.columns]]
+                out = out[~open_]
+            return out
 
         for p in parts:
             while len(p):
@@ -99,13 +110,13 @@ def _pack(capacity: int, window: int):
                 rows += len(held[-1])
                 if rows >= window:
                     yield flush()
-        if rows:
-            yield flush()
+        if held:
+            yield flush(True)
 
     return pack
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", capacity: int = CAPACITY, tasks: int | None = None, window: int = WINDOW_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", capacity: int = CAPACITY, tasks: int | None = None, window: int = WINDOW_ITEMS, settle=None) -> DataFrame:
     """A row per piece of each item: (key, piece, n_pieces, first_token, tokens, container, container_offset).
 
     An item within the capacity is one piece (whole); a larger one is cut into full pieces,
@@ -115,7 +126,10 @@ def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", capaci
 
     Scale: items are spread by hash of the key over the tasks, so every task sees the same mix
     of lengths; a task packs windows of `window` items (keys and lengths only), and the plan
-    works on at most `capacity` lengths, whatever the number of items.
+    works on at most `capacity` lengths, whatever the number of items. There are as many tasks as
+    the tokens fill TASK_CONTAINERS containers, at most spark.sql.shuffle.partitions; the last
+    container of each is opened again and one task packs what was in them.
+    settle: a function that writes the tasks' packing and reads it back; else it is made twice.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -139,9 +153,16 @@ def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", capaci
     rests = items.filter("_rest > 0").select(
         key, F.col("_full").alias("piece"), "n_pieces", (F.col("_full") * capacity).alias("first_token"), F.col("_rest").alias("tokens"),
     )
-    tasks = tasks or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rests.repartition(tasks, F.xxhash64(key, "piece")).sortWithinPartitions(F.xxhash64(F.col(key)), key)
-    packed = spread.mapInPandas(_pack(capacity, window), f"{key} {kind}, piece bigint, n_pieces bigint, first_token bigint, tokens bigint, container string, container_offset bigint")
+    if tasks is None:
+        total = rests.agg(F.sum("tokens")).first()[0] or 0
+        tasks = max(1, min(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (capacity * TASK_CONTAINERS)))
+    order = [F.xxhash64(F.col(key)), key, "piece", "n_pieces", "tokens"]  # whole, so that a repeated task gives the same
+    schema = f"{key} {kind}, piece bigint, n_pieces bigint, first_token bigint, tokens bigint, container string, container_offset bigint"
+    packed = rests.repartition(tasks, F.xxhash64(key, "piece")).sortWithinPartitions(*order).mapInPandas(_pack(capacity, window), schema)
+    packed = settle(packed) if settle else packed
+    opened = packed.filter("container is null").drop("container", "container_offset")
+    last = opened.repartition(1).sortWithinPartitions(*order).mapInPandas(_pack(capacity, window, "last"), schema)
+    packed = packed.filter("container is not null").unionByName(last)
     return packed.unionByName(whole).unionByName(empty)
 
 

@@ -66,7 +66,7 @@ def _sizes(spark: SparkSession, d: str, *more) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(settle(_sizes(spark, d)))
+    return packing.pack(settle(_sizes(spark, d)), settle=settle)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
