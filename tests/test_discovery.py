@@ -86,6 +86,20 @@ def test_published_and_composition_source(spark):
     }
 
 
+def test_composition_source_needs_one_row_and_its_output(spark):
+    items = spark.createDataFrame([("s", "IGH", "f", "/1"), ("s", "IGH", "f", "/2"), ("t", "IGH", "f", "/3"), ("u", "IGH", "f", "/4"), ("u", "IGH", "f", "/5")], "sample string, chain string, folder string, path string")
+    rows = [("f", "s", "IGH", "OK", "/1", 1), ("f", "s", "IGH", "OK", "/2", 2), ("f", "t", "IGH", "OK", "/3", 3), ("f", "u", "IGH", "OK", "/4", 4), ("f", "u", "IGH", "OK", "/5", 4), ("f", "u", "IGK", "OK", "/6", 4)]
+    man = spark.createDataFrame(rows, "folder string, sample string, chain string, status string, path string, row int")
+    done = spark.createDataFrame([("f", True)], "folder string, published boolean")
+    out = [("f", "t", "IGH", 5, 7, 5, 8), ("f", "u", "IGH", 5, 7, 5, 7)]
+    out = spark.createDataFrame(out, "folder string, sample string, chain string, size bigint, modified bigint, receipt_size bigint, receipt_modified bigint")
+    status = lambda *a: {r["sample"]: r["status"] for r in evidence.composition_source(*a).collect()}
+    assert status(items, man, done, out) == {"s": "preprocessing_sample_unverified", "t": "preprocessing_output_unverified", "u": "complete"}
+    joined = spark.createDataFrame([("f", "s", "IGH", "OK", "/1;/2")], "folder string, sample string, chain string, status string, path string")
+    assert status(items.filter("sample = 's'"), man.drop("row"), done) == {"s": "preprocessing_sample_unverified"}
+    assert status(items.filter("sample = 's'"), joined, done) == {"s": "complete"}
+
+
 def test_task_plan(spark):
     s = spark.createDataFrame([("S 1", "p", "igh", "OK", "/1"), ("S 1", "p", "IGH", "OK", "/2"), ("s_1", "q", "IGK", "OK", "/3"), ("x", "p", "TRA", "ERROR", "/4")], "sample_id string, pair_id string, chain string, status string, output_path string")
     good = s.filter("status = 'OK'")

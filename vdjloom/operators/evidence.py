@@ -21,19 +21,38 @@ def published(runs: DataFrame, receipts: DataFrame, now: DataFrame) -> DataFrame
     return runs.join(per, F.col("run_id") == F.col("_r"), "left").select("run_id", ((F.col("state") == "DONE") & F.coalesce("_ok", F.lit(False))).alias("published"))
 
 
-def composition_source(items: DataFrame, manifest: DataFrame, done: DataFrame) -> DataFrame:
+def composition_source(items: DataFrame, manifest: DataFrame, done: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
     """(sample, chain, status): complete if the selected items lie in one folder that has been published, whose manifest has
-    exactly one OK row for the sample, naming exactly the selected paths; else the first reason that holds.
-    items: (sample, chain, folder, path); manifest: (folder, sample, chain, status, path); done: (folder, published)."""
+    exactly one OK row for the sample, naming exactly the selected paths, and whose output is as its receipt says; else the first
+    reason that holds. items: (sample, chain, folder, path); done: (folder, published).
+    manifest: (folder, sample, chain, status, path) and, where a manifest row names several chains or paths and so takes several
+    rows here, row (its number); without it each row is one of its chain. path may be several, joined by ';'.
+    outputs: (folder, sample, chain, size, modified, receipt_size, receipt_modified), null where there is none; not given: not checked."""
     sel = items.groupBy("sample", "chain").agg(F.min("folder").alias("folder"), F.count("folder").alias("_f"), F.count(F.lit(1)).alias("_n"), F.countDistinct("folder").alias("_k"), F.array_sort(F.collect_set("path")).alias("_want"))
-    ok = manifest.filter("status = 'OK'").groupBy("folder", "sample", "chain").agg(F.array_sort(F.collect_set("path")).alias("_have"), F.countDistinct("status").alias("_rows"))
-    m = ok.select(F.col("folder").alias("_mf"), F.col("sample").alias("_ms"), F.col("chain").alias("_mc"), "_have")
+    good = manifest.filter("status = 'OK'")
+    whole = ["folder", "sample"] if "row" in manifest.columns else ["folder", "sample", "chain"]
+    n = F.countDistinct("row") if "row" in manifest.columns else F.count(F.lit(1))
+    paths = good.select("folder", "sample", "chain", F.explode_outer(F.filter(F.split("path", ";"), lambda x: x != "")).alias("path"))
+    have = paths.groupBy("folder", "sample", "chain").agg(F.array_sort(F.collect_set("path")).alias("_have"))
+    rows = good.groupBy(*whole).agg(n.alias("_rows")).select(*(F.col(c).alias(f"_r{c}") for c in whole), "_rows")
+    m = have.select(F.col("folder").alias("_mf"), F.col("sample").alias("_ms"), F.col("chain").alias("_mc"), "_have")
     d = done.select(F.col("folder").alias("_df"), "published")
     j = sel.join(m, (F.col("folder") == F.col("_mf")) & (F.col("sample") == F.col("_ms")) & (F.col("chain") == F.col("_mc")), "left").join(d, F.col("folder") == F.col("_df"), "left")
+    same = F.lit(True)
+    for c in whole:
+        same = same & (F.col(c) == F.col(f"_r{c}"))
+    j = j.join(rows, same, "left")
+    proved = F.lit(True)
+    if outputs is not None:
+        one = (F.col("size") == F.col("receipt_size")) & (F.col("modified") == F.col("receipt_modified"))
+        o = outputs.groupBy(F.col("folder").alias("_of"), F.col("sample").alias("_os"), F.col("chain").alias("_oc")).agg(F.min(F.coalesce(one, F.lit(False))).alias("_proved"))
+        j = j.join(o, (F.col("folder") == F.col("_of")) & (F.col("sample") == F.col("_os")) & (F.col("chain") == F.col("_oc")), "left")
+        proved = F.coalesce("_proved", F.lit(False))
     status = (
         F.when(F.col("_f") < F.col("_n"), "preprocessing_source_unavailable").when(F.col("_k") > 1, "multiple_preprocessing_sources")
         .when(F.col("published").isNull(), "preprocessing_unavailable").when(~F.col("published"), "preprocessing_not_published")
-        .when(F.col("_have").isNull(), "preprocessing_sample_unverified").when(F.col("_have") != F.col("_want"), "preprocessing_scope_unverified").otherwise("complete")
+        .when(F.coalesce("_rows", F.lit(0)) != 1, "preprocessing_sample_unverified")
+        .when(F.coalesce(F.col("_have") != F.col("_want"), F.lit(True)), "preprocessing_scope_unverified").when(~proved, "preprocessing_output_unverified").otherwise("complete")
     )
     return j.select("sample", "chain", status.alias("status"))
 
