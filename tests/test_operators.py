@@ -272,6 +272,16 @@ def test_metadata_matching(spark):
     assert got == [("/data/20240829/x_S1_R1", 1, "sample_id"), ("/data/20240829/y_D14_R1", 1, "dual_index_multi"), ("/data/20240829/y_D14_R1", 2, "dual_index_multi"), ("/data/20240829/z", 0, "error"), ("/data/20240829_A/x_S1_R1", 0, "error")]
 
 
+def test_file_matching_of_ids_without_ascii(spark):
+    files = spark.createDataFrame([("/data/甲样本/r1",), ("/data/乙-D14/r1",), ("/data/样/r1",), ("/data/A1样本/r1",), ("/data/none/r1",)], "path string")
+    rec = spark.createDataFrame([(1, None, "样本", ""), (2, None, "", "D14"), (3, None, "样", "－")], "record_id bigint, note string, sample_id string, dual_index string")
+    got = sorted((r["path"], r["record_id"] or 0, r["match_method"]) for r in matching.match_files(files, rec).collect())
+    assert got == [
+        ("/data/A1样本/r1", 0, "error"), ("/data/none/r1", 0, "error"), ("/data/乙-D14/r1", 2, "dual_index"), ("/data/样/r1", 3, "sample_id"),
+        ("/data/甲样本/r1", 1, "sample_id_multi"), ("/data/甲样本/r1", 3, "sample_id_multi"),
+    ]
+
+
 def test_best_suffix_rejects_ties(spark):
     w = spark.createDataFrame([(1, "q/a/b/c"), (2, "x/y/z"), (3, "m/n")], "id bigint, w string")
     f = spark.createDataFrame([("r/a/b/c",), ("r/z/b/c",), ("1/y/z",), ("2/y/z",)], "path string")

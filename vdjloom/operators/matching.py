@@ -40,7 +40,8 @@ def match_files(files: DataFrame, records: DataFrame, path: str = "path") -> Dat
 
     The note boundary is an equi-join: a note entry meets the files' runs of as many components
     by the run's text; ids are tested within that. Records without any note: tokens of the path
-    (letters and digits) are the join keys.
+    (ASCII letters and digits, as the id's bounds are) are the join keys; ids without a token meet
+    the paths by their first two characters.
     """
     entries = records.select("*", F.explode_outer(F.split(F.coalesce("note", F.lit("")), r"[\r\n;,]+")).alias("_e")).withColumn("_e", path_parts(F.regexp_replace(F.trim("_e"), '^"|"$', "")))
     notes = entries.filter(F.size("_e") > 0)
@@ -51,9 +52,16 @@ def match_files(files: DataFrame, records: DataFrame, path: str = "path") -> Dat
     if has_notes:
         scoped = spread.join(notes.select(F.array_join("_e", "/").alias("_n"), "record_id", "sample_id", "dual_index"), F.col("_run") == F.col("_n")).drop("_run", "_n").distinct()
     else:
-        tokens = lambda c: F.filter(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")), lambda x: x != "")
-        ids = records.select("record_id", "sample_id", "dual_index", F.explode(F.array_distinct(F.concat(F.slice(tokens(F.col("sample_id")), 1, 1), F.slice(tokens(F.col("dual_index")), 1, 1)))).alias("_t"))
-        ft = f.select("path", F.explode(tokens(F.col("path"))).alias("_ft"))
+        text = lambda c: F.coalesce(F.col(c), F.lit(""))
+        tokens = lambda c: F.transform(F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda x: x != ""), F.lower)
+        key = lambda c: F.when(F.size(tokens(text(c))) > 0, F.concat(F.lit("t:"), F.get(tokens(text(c)), 0))).when(text(c) != "", F.concat(F.lit("c:"), F.substring(text(c), 1, 2)))
+        ids = records.select("record_id", "sample_id", "dual_index", F.explode(F.array_distinct(F.array(key("sample_id"), key("dual_index")))).alias("_t")).filter("_t is not null")
+        ft = f.select("path", F.explode(F.array_distinct(tokens(F.col("path")))).alias("_ft")).withColumn("_ft", F.concat(F.lit("t:"), "_ft"))
+        if ids.filter(F.startswith("_t", F.lit("c:"))).limit(1).count():
+            whole = F.regexp_replace("path", r"\\", "/")
+            at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole)))
+            pairs = F.flatten(F.transform(at, lambda k: F.array(F.substring(whole, k, F.lit(1)), F.substring(whole, k, F.lit(2)))))
+            ft = ft.unionByName(f.select("path", F.explode(F.array_distinct(pairs)).alias("_ft")).withColumn("_ft", F.concat(F.lit("c:"), "_ft")))
         scoped = ft.join(ids, F.col("_ft") == F.col("_t")).drop("_ft", "_t").distinct()
     label = F.regexp_replace("path", r"\\", "/")
     s = scoped.withColumn("_sid", bounded(F.coalesce("sample_id", F.lit("")), label)).withColumn("_dual", bounded(F.coalesce("dual_index", F.lit("")), label))
