@@ -272,6 +272,26 @@ def test_metadata_matching(spark):
     assert got == [("/data/20240829/x_S1_R1", 1, "sample_id"), ("/data/20240829/y_D14_R1", 1, "dual_index_multi"), ("/data/20240829/y_D14_R1", 2, "dual_index_multi"), ("/data/20240829/z", 0, "error"), ("/data/20240829_A/x_S1_R1", 0, "error")]
 
 
+def test_scenario_copies_and_usage(spark):
+    reads = spark.createDataFrame([(1, "g", "r1", "TTA"), (2, "g", "r2", "TTA"), (3, "g", "r3", "TTC"), (4, "g", "r4", "GGG"), (5, "h", "r5", "TTA")], "k bigint, group_id string, read string, seq string")
+    sus = spark.createDataFrame([("g", "B", "suspected"), ("h", "B", "below_threshold")], "group_id string, tested_group string, status string")
+    m = primers.scenarios(reads, "k", "seq", [("a", "GG", "A"), ("b1", "TTA", "B"), ("b2", "TTC", "B")], sus, ["group_id"])
+    final = spark.createDataFrame([("g", "r1", "x"), ("g", "r2", "x"), ("g", "r3", "x"), ("g", "r4", "y"), ("g", "r9", "y"), ("h", "r5", "x")], "group_id string, read string, identity_key string")
+    line = usage.scenario_lineage(m, final, ["read"])
+    assert sorted((r["identity_key"], r["primer"], r["n"]) for r in line.collect()) == [("x", "b1", 2), ("x", "b2", 1), ("y", "", 2)]
+    rec = spark.createDataFrame(
+        [(1, "g", "", 1, 3, 1, "cdr3_aa", "CAR", 1, "x"), (2, "g", "", 1, 2, 1, "cdr3_aa", "CAS", 1, "y"), (3, "h", "", 1, 1, 1, "cdr3_aa", "CAR", 1, "x")],
+        "id bigint, group_id string, primer string, sample_record int, weight bigint, eligible int, aa_field string, aa_value string, aa_valid int, identity_key string",
+    )
+    calls = spark.createDataFrame([(1, "V", "V1", "unique"), (2, "V", "V2", "unique"), (3, "V", "V1", "unique")], "record_id bigint, segment string, gene string, assignment string")
+    r, c, totals = usage.scenario_records(rec, calls, line, m.select("scenario_id", "group_id"))
+    sid = m.first()["scenario_id"]
+    assert [tuple(t) for t in totals.collect()] == [(sid, 2, 5, 3, 2)]
+    got = usage.gene_usage(usage.usage_counts(r, c)).collect()
+    assert sorted((x["group_id"], x["primer"], x["gene"], x["unique_count"], x["percent"]) for x in got) == [(sid, "b1", "V1", 2, 100.0), (sid, "b2", "V1", 1, 100.0)]
+    assert usage.unique_cdr3_counts(r, c).count() == 2
+
+
 def test_file_matching_of_ids_without_ascii(spark):
     files = spark.createDataFrame([("/data/甲样本/r1",), ("/data/乙-D14/r1",), ("/data/样/r1",), ("/data/A1样本/r1",), ("/data/none/r1",)], "path string")
     rec = spark.createDataFrame([(1, None, "样本", ""), (2, None, "", "D14"), (3, None, "样", "－")], "record_id bigint, note string, sample_id string, dual_index string")

@@ -221,7 +221,7 @@ def mapping_rates(obs: DataFrame, groups: list[str]) -> DataFrame:
 def scenarios(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, str, str]], suspected: DataFrame, groups: list[str]) -> DataFrame:
     """Reads of groups with a suspected alternative, reclassified under that primer group: a
     row per read and scenario, with scenario_id (a hash of group and tested primer group), names and
-    match_class. Its output feeds the same summaries, usage and allocation operators, by scenario_id."""
+    match_class. usage.scenario_lineage() and scenario_records() give copies and gene usage by scenario_id."""
     tested = suspected.filter("status = 'suspected'").select(*(F.col(g).alias(f"__{g}") for g in groups), "tested_group")
     same = F.lit(True)
     for g in groups:

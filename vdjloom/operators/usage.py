@@ -1,4 +1,4 @@
-"""Gene usage, its unique-CDR3 form, and exact copy allocation."""
+"""Gene usage, its unique-CDR3 form, and exact copy allocation."""
 
 from __future__ import annotations
 
@@ -172,6 +172,41 @@ def allocate_copies(records: DataFrame, lineage: DataFrame) -> tuple[DataFrame,
     return alloc, totals
 
 
+def scenario_lineage(matched: DataFrame, final: DataFrame, read: list[str]) -> DataFrame:
+    """(scenario_id, identity_key, primer, n): the final rows of each scenario's group by the primer that their read
+    has in the scenario, '' where the read is not found, found more than once, or has not exactly one primer.
+    matched: primers.scenarios() with group_id; final: (group_id, *read, identity_key), a row per final row. read: what
+    identifies a read within its group."""
+    link = matched.groupBy("scenario_id", *read).agg(
+        F.count(F.lit(1)).alias("_times"), F.min(F.when(F.col("match_class") == "unique", F.element_at("names", 1)).otherwise("")).alias("_primer")
+    )
+    of = matched.select("scenario_id", F.col("group_id").alias("__group_id")).distinct()
+    rows = final.select("group_id", *read, "identity_key").join(of, _join_on(["group_id"]))
+    same = F.col("scenario_id") == F.col("_scenario_id")
+    for c in read:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    link = link.select(*(F.col(c).alias(f"_{c}") for c in ("scenario_id", *read)), "_times", "_primer")
+    primer = F.when(F.col("_times") == 1, F.col("_primer")).otherwise("").alias("primer")
+    return rows.join(link, same, "left").groupBy("scenario_id", "identity_key", primer).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scenario_records(records: DataFrame, calls: DataFrame, lineage: DataFrame, scenarios: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, calls, totals) of each scenario, whose id is their group_id: the sample records' copies given to the
+    scenario's primers by allocate_copies(). The first two go into usage_counts(), gene_usage() and unique_cdr3_counts().
+    lineage: scenario_lineage(); scenarios: (scenario_id, group_id)."""
+    s = scenarios.select("scenario_id", F.col("group_id").alias("__group_id")).distinct()
+    base = records.filter("sample_record = 1").join(s, _join_on(["group_id"])).drop("group_id", "__group_id").withColumnRenamed("scenario_id", "group_id")
+    alloc, totals = allocate_copies(base, lineage.withColumnRenamed("scenario_id", "group_id"))
+    own = F.sha2(F.to_json(F.struct("group_id", "id", "primer")), 256).alias("_own")
+    parts = alloc.select("group_id", "primer", "copies", own, F.col("id").alias("_base"))
+    aa = records.filter("sample_record = 1").select(F.col("id").alias("_id"), "aa_field", "aa_value", "aa_valid")
+    shares = parts.join(aa, F.col("_base") == F.col("_id")).select(
+        F.col("_own").alias("id"), "group_id", "primer", F.lit(0).alias("sample_record"), F.col("copies").alias("weight"), F.lit(1).alias("eligible"), "aa_field", "aa_value", "aa_valid"
+    )
+    called = parts.join(calls, F.col("_base") == F.col("record_id")).select(F.col("_own").alias("record_id"), "segment", "gene", "assignment")
+    return shares, called, totals
+
+
 def primer_composition(usage: DataFrame) -> DataFrame:
     """Each primer's C genes as percent of its classified C genes."""
     c = usage.filter("segment = 'C' and primer <> ''")
