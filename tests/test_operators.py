@@ -224,6 +224,25 @@ def test_catalogue_and_settings(spark):
     assert primers.strip_structure(primers.ADAPTER + "N" * 10 + "ACGTACGT" + "GGA") == "GGA"
 
 
+def test_catalogue_of_a_sheet(spark):
+    o = lambda x: primers.ADAPTER + "N" * 10 + "ACGTACGT" + x
+    sheet = [("g1", "a", o("NGA")), ("g1", "b", o("CC")), ("g2", "c", o("TT")), ("", "", "")]
+    build = lambda *a, **k: [tuple(r) for r in primers.build_catalogue(spark, *a, **k).collect()]
+    got = build(sheet, [("S-1", None, "g1; g2"), ("other", None, "nowhere")], ["s1"], {"s1": "S-1"}, separator=";")
+    assert got == [("s1", None, "g1", "a", "NGA"), ("s1", None, "g1", "b", "CC"), ("s1", None, "g2", "c", "TT")]
+    assert build(sheet, [("s", None, "c")], ["s"], by_name=True) == [("s", None, "g2", "c", "TT")]
+    by_chain = [("s", "IGH", "g2"), ("s", "TRA", "g1")]
+    assert build(sheet, by_chain, ["s"], sample_chains={"s": ["IGH"]})[0] == ("s", "IGH", "g2", "c", "TT")
+    for wrong in (
+        lambda: build(sheet, [("s", None, "g1")], ["s", "t"]), lambda: build(sheet, [("s", None, "c")], ["s"]), lambda: build(sheet, [("", None, "g1")], ["s"]),
+        lambda: build(sheet, by_chain, ["s"], sample_chains={"s": ["IGK"]}), lambda: build([*sheet, ("g3", "a", o("GG"))], [("s", None, "g1")], ["s"]),
+        lambda: build([("g1", "a", "ACGT")], [("s", None, "g1")], ["s"]), lambda: build([("g1", "a", "")], [("s", None, "g1")], ["s"]),
+        lambda: primers.strip_structure(primers.ADAPTER + "ACGTACGTACACGTACGTGGA"),
+    ):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 # --- usage, lineage, stages ------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vdjloom.functions.text import pct
-from vdjloom.schemas import MATCH_CLASSES
+from vdjloom.schemas import CHAINS, MATCH_CLASSES
 
 # The bases each IUPAC code stands for, and the adapter before the UMI.
 IUPAC = {
@@ -56,12 +56,65 @@ def catalogue(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(a, b, g, n, s.upper()) for a, b, g, n, s in rows], "sample string, chain string, grp string, name string, sequence string")
 
 
-def strip_structure(sequence: str, adapter: str = ADAPTER) -> str:
-    """An oligo as ordered (adapter, N for the UMI, barcode, primer) without what stands before the primer."""
-    s = sequence.upper().replace(" ", "")
-    if s.startswith(adapter):
-        s = s[len(adapter) + UMI_LENGTH + BARCODE_LENGTH :]
-    return s.lstrip("N")
+def strip_structure(sequence: str, adapter: str = ADAPTER, umi: int = UMI_LENGTH, barcode: int = BARCODE_LENGTH) -> str:
+    """An oligo as ordered (adapter, N for the UMI, barcode, primer) without what stands before the primer.
+    Raises where that structure is missing."""
+    s = "".join(sequence.split()).upper()
+    prefix = adapter.upper() + "N" * umi
+    if not s.startswith(prefix) or len(s) <= len(prefix) + barcode:
+        raise ValueError(f"oligo {sequence!r} is not adapter, UMI, barcode and primer")
+    return s[len(prefix) + barcode :]
+
+
+def build_catalogue(
+    spark: SparkSession, sheet: list[tuple], selected: list[tuple], samples: list[str], aliases: dict[str, str] | None = None,
+    sample_chains: dict[str, list[str]] | None = None, separator: str = "", by_name: bool = False, oligo: bool = True,
+) -> DataFrame:
+    """The catalogue() of the given samples, from a primer sheet and the groups chosen for each sample.
+
+    sheet: (group, name, sequence), of which rows without name and sequence are passed over; selected: (sample, chain
+    or None, groups), the groups of a cell split at `separator`; aliases: a sample's name in `selected`. by_name:
+    a group that the sheet lacks is looked up as a primer's name. oligo: sequences are oligos, see strip_structure().
+    Raises on incomplete sheet rows, groups that are not found, rows with groups but no sample, samples without
+    any group, and chains of sample_chains without one where the sample's groups are chosen by chain.
+    """
+    rows = []
+    for row in sheet:
+        group, name, full = (str(x or "").strip() for x in row)
+        if not name and not full:
+            continue
+        if not group or not name or not full:
+            raise ValueError(f"primer sheet: no group, name or sequence in {row!r}")
+        rows.append((group, name, strip_structure(full) if oligo else "".join(full.split()).upper()))
+    catalogue(spark, [(None, None, *x) for x in rows])  # the whole sheet is checked
+    aliases, sample_chains = aliases or {}, sample_chains or {}
+    wanted = {aliases.get(s, s) for s in samples}
+    chosen: dict[str, dict[tuple, tuple]] = {}
+    for sample, chain, cell in selected:
+        sample, cell = str(sample or "").strip(), str(cell or "").strip()
+        if not sample and cell:
+            raise ValueError(f"groups without a sample: {cell!r}")
+        if sample not in wanted or not cell:
+            continue
+        if chain is not None and chain not in CHAINS:
+            raise ValueError(f"sample {sample!r}: unknown chain {chain!r}")
+        for g in (x.strip() for x in cell.split(separator)) if separator else [cell]:
+            found = [r for r in rows if r[0] == g] or [r for r in rows if by_name and r[1] == g]
+            if not found:
+                raise ValueError(f"sample {sample!r}: no primer group {g!r}")
+            chosen.setdefault(sample, {}).update({(chain, r[1]): r for r in found})
+    missing = [s for s in samples if aliases.get(s, s) not in chosen]
+    if missing:
+        raise ValueError(f"samples without a primer group: {missing[:20]}")
+    out = []
+    for s in samples:
+        own = chosen[aliases.get(s, s)]
+        chains = {c for c, _ in own}
+        lost = set() if None in chains else set(sample_chains.get(s, [])) - chains
+        if lost:
+            raise ValueError(f"sample {s!r}: no primer group for {sorted(lost)}")
+        out += [(s, c, *own[c, n]) for c, n in sorted(own, key=lambda k: (k[0] or "", k[1]))]
+    return catalogue(spark, out)
 
 
 def window_of(seq: Column, oligo: bool, adapter: str = ADAPTER) -> Column:
