@@ -46,6 +46,25 @@ def test_diversity_against_rows(spark, w):
     assert abs(m["Gini_index"] - max(0, 1 - 2 * area / len(w))) < 1e-9
 
 
+def test_running_over_many_partitions_with_other_columns(spark):
+    """A million rows from many splits, with a column that takes no part, and no exchange used twice."""
+    from pyspark.sql import Window
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        g = F.when(F.col("id") % 3 == 0, "h").when(F.col("id") % 97 != 1, "g")
+        df = spark.range(0, 1_000_000, 1, 16).select(g.alias("g"), (F.hash("id") % 5000).cast("bigint").alias("w"), F.col("id").alias("i"), F.concat(F.lit("text"), "id").alias("extra"))
+        order = [F.desc("w"), F.asc("i")]
+        w = Window.partitionBy("g").orderBy(*order)
+        r = ranking.running(df, ["g"], order, "w", whole="all").withColumns({
+            "r": F.row_number().over(w), "s": F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)), "a": F.sum("w").over(Window.partitionBy("g")),
+        })
+        assert r.count() == 1_000_000
+        assert r.filter("rank <> r or running <> s or all <> a or extra <> concat('text', i)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
 def test_running_over_large_groups(spark):
     rows = [("g" if i % 3 else "h", i % 50, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, w bigint, i bigint")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Only a session without one (a test on one
@@ -24,10 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new place in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}{suffix}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df written once to the shared folder and read back: later passes read the files
     (columns pruned, filters pushed), and a lost executor costs only its running tasks."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     out = df.write.mode("overwrite")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> int:
+    """Deletes what was written through new_path(), and tells how many places; frames that read them cannot
+    be computed any more. It runs by itself when the program ends."""
+    n = 0
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+        except Exception:  # the session is gone: its folder stays to whoever set it
+            return n
+    return n
+
+
+atexit.register(release)
