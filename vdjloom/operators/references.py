@@ -1,9 +1,10 @@
 """Problem 3: references to records that do not exist.
 
-Method: skew-aware split. References are pre-aggregated per key and load time; the few keys
-that carry much of the table are matched against a broadcast of their own targets (a few
-rows, whatever the tables hold); all other keys go through a shuffled anti-join; the orphans
-of both sides are united and rolled up per table and period.
+Method: skew-aware split. A fixed-size sketch names the few keys that carry much of the table;
+the first load time of their targets (a row each) is broadcast, and their references are compared
+row by row before anything is moved. All references are then pre-aggregated per key and period,
+whatever load times they have; the keys that are not heavy meet their targets in a shuffled
+join of those states, and the orphans of both sides are united per table and period.
 """
 
 from __future__ import annotations
@@ -20,41 +21,66 @@ def period_of(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM")
 
 
-def heavy_keys(refs: DataFrame, key: str) -> list[str]:
-    """The keys with at least HEAVY_SHARE of all rows (by a frequent-items sketch of fixed
-    size), HEAVY_KEYS at most. Which keys are found changes the plan, never the result."""
-    row = refs.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {HEAVY_KEYS}, 10000)").alias("top")).first()
-    return [x["item"] for x in row["top"] or [] if x["item"] is not None and x["count"] >= max(2, HEAVY_SHARE * row["n"])]
+def heavy_keys(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """(heavy_hash): the hashes of the (composite) keys with at least HEAVY_SHARE of all rows, by a frequent-items
+    sketch of fixed size; HEAVY_KEYS rows at most. Which keys are found changes the plan, never the result."""
+    sketch = refs.select(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HEAVY_KEYS}, 10000)").alias("top"))
+    top = sketch.select("n", F.explode("top").alias("t")).filter(F.col("t.count") >= F.greatest(F.lit(2.0), F.col("n") * HEAVY_SHARE))
+    return top.select(F.col("t.item").alias("heavy_hash")).filter("heavy_hash is not null")
 
 
-def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], skew_on: str) -> DataFrame:
-    """(*keys, at, n_rows): references, by load time, without a target row loaded by then.
+def _same(keys: list[str], prefix: str) -> Column:
+    c = F.lit(True)
+    for k in keys:
+        c = c & (F.col(k) == F.col(f"{prefix}{k}"))
+    return c
 
-    refs: (*keys, at), one row per referring row; rows whose skew_on is null are no references
-    and must have been left out. targets: (*keys, at), one row per target row that lives.
+
+def _first_load(targets: DataFrame, keys: list[str], prefix: str, name: str) -> DataFrame:
+    """The earliest load of each target key; a target without a load time was always there."""
+    always = F.lit("0001-01-01").cast("timestamp_ntz")
+    return targets.groupBy(*(F.col(k).alias(f"{prefix}{k}") for k in keys)).agg(F.min(F.coalesce("at", always)).alias(name))
+
+
+def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], settle=None) -> DataFrame:
+    """(*keys, load_month, n_rows): the references, by period, that have no target row loaded by then.
+
+    refs: (*keys, at), one row per referring row; rows that are no references must have been
+    left out. targets: (*keys, at), one row per target row that lives.
     Keys are equal as in SQL: a null part matches nothing, so the reference is an orphan.
     A reference is an orphan if no live target exists or the earliest came later than it.
-    A reference without a load time is an orphan only if no target exists.
-    """
-    states = refs.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n_rows"))
-    heavy = heavy_keys(refs, skew_on)
-    is_heavy = F.col(skew_on).isin(heavy) if heavy else F.lit(False)
-
-    def first(t: DataFrame) -> DataFrame:
-        return t.groupBy(*keys).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.coalesce("_first", F.lit("0001-01-01").cast("timestamp_ntz")).alias("_first"))
+    A reference without a load time is an orphan only if no target exists; its period is null.
 
-    def there() -> Column:
-        c = F.coalesce(F.col("_first") <= F.col("at"), F.lit(True))
-        for k in keys:
-            c = c & (F.col(k) == F.col(f"_{k}"))
-        return c
+    settle: a function that writes the orphans' states and reads them back. It is needed for n_rows: where a key's
+    target came in the middle of a period, its references of that period are looked at once more. Without it
+    n_rows is left out, and a row tells only that there is an orphan.
 
-    light = states.filter(~is_heavy).join(first(targets.filter(~F.coalesce(is_heavy, F.lit(False)))), there(), "left_anti")
-    if not heavy:
-        return light
-    # HEAVY_KEYS values of skew_on; with composite keys AQE decides, as their number is not bounded
-    few = first(targets.filter(is_heavy))
-    return light.unionByName(states.filter(is_heavy).join(F.broadcast(few) if len(keys) == 1 else few, there(), "left_anti"))
+    Scale: a heavy key leaves each task as one state per period, and so does any other; a key has no more
+    rows in the join than there are periods. No part of it grows with a key's rows.
+    """
+    heavy = heavy_keys(refs, keys)
+    h = F.xxhash64(*keys)
+    few = targets.join(F.broadcast(heavy), h == F.col("heavy_hash"), "left_semi")  # HEAVY_KEYS keys at most, but for colliding hashes
+    rows = refs.join(F.broadcast(heavy), h == F.col("heavy_hash"), "left").join(F.broadcast(_first_load(few, keys, "_h_", "_known")), _same(keys, "_h_"), "left")
+    known_orphan = F.col("heavy_hash").isNotNull() & (F.col("_known").isNull() | F.coalesce(F.col("_known") > F.col("at"), F.lit(False)))
+    states = rows.groupBy(*keys, period_of(F.col("at")).alias("load_month")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("at").alias("_lo"), F.max("at").alias("_hi"),
+        F.max(F.col("heavy_hash").isNotNull()).alias("_heavy"), F.sum(known_orphan.cast("bigint")).alias("_lost"),
+    )
+    j = states.join(_first_load(targets, keys, "_t_", "_first"), _same(keys, "_t_"), "left")
+    none = F.col("_first").isNull()
+    some = F.when(F.col("_heavy"), F.col("_lost") > 0).otherwise(none | F.coalesce(F.col("_lo") < F.col("_first"), F.lit(False)))
+    lost = j.filter(some)
+    if settle is None:
+        return lost.select(*keys, "load_month")
+    # rows without a load time are no orphans here: a target exists
+    mixed = ~F.col("_heavy") & ~none & (F.col("_hi") >= F.col("_first"))
+    plain = F.when(F.col("_heavy"), F.col("_lost")).when(none | (F.col("_hi") < F.col("_first")), F.col("_n"))
+    lost = settle(lost.select(*keys, "load_month", "_first", plain.alias("n_rows"), F.coalesce(mixed, F.lit(False)).alias("_mixed")))
+    again = lost.filter("_mixed").select(*(F.col(k).alias(f"_m_{k}") for k in keys), F.col("load_month").alias("_month"), "_first")
+    seen = refs.join(again, _same(keys, "_m_") & (period_of(F.col("at")) == F.col("_month")) & (F.col("at") < F.col("_first")))
+    counted = seen.groupBy(*keys, F.col("_month").alias("load_month")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return lost.filter("not _mixed").select(*keys, "load_month", "n_rows").unionByName(counted)
 
 
 def orphan_report(found: dict[str, tuple[DataFrame, DataFrame]], ref_key: dict[str, str]) -> DataFrame:
@@ -63,7 +89,7 @@ def orphan_report(found: dict[str, tuple[DataFrame, DataFrame]], ref_key: dict[s
     out = None
     for name, (refs, lost) in found.items():
         all_ = refs.groupBy(period_of(F.col("at")).alias("load_month")).agg(F.count(F.lit(1)).alias("n_references"))
-        per_key = lost.groupBy(period_of(F.col("at")).alias("load_month"), F.col(ref_key[name]).alias("k")).agg(F.sum("n_rows").alias("n"))
+        per_key = lost.groupBy("load_month", F.col(ref_key[name]).alias("k")).agg(F.sum("n_rows").alias("n"))
         lost_ = per_key.groupBy(F.col("load_month").alias("_m")).agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
         one = all_.join(lost_, F.col("load_month").eqNullSafe(F.col("_m")), "left").select(
             F.lit(name).alias("table_name"), "load_month", "n_references",

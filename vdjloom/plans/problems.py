@@ -13,8 +13,8 @@ from vdjloom.sources.tables import table
 _REF_KEY = {"composition_calls": "k", "observations": "k", "derived_runs": "k"}
 
 
-def _references(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """By referring table: its references, and those without a target."""
+def _references(spark: SparkSession, d: str, write=None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By referring table: its references, and those without a target (with write: their numbers, too)."""
     at = F.col("loaded_at").alias("at")
 
     def refs(name: str, col: str, *more: str) -> DataFrame:
@@ -28,22 +28,22 @@ def _references(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataF
 
     calls, obs, runs = refs("composition_calls", "record_id"), refs("observations", "mapping_sequence_id", "sample_key", "chain"), refs("derived_runs", "parent_job_id")
     return {
-        "composition_calls": (calls, references.orphans(calls, live("composition_records", "id"), ["k"], "k")),
-        "observations": (obs, references.orphans(obs, live("annotations", "sequence_id", "sample_key", "chain"), ["k", "sample_key", "chain"], "k")),
-        "derived_runs": (runs, references.orphans(runs, live("jobs", "id"), ["k"], "k")),
+        "composition_calls": (calls, references.orphans(calls, live("composition_records", "id"), ["k"], write)),
+        "observations": (obs, references.orphans(obs, live("annotations", "sequence_id", "sample_key", "chain"), ["k", "sample_key", "chain"], write)),
+        "derived_runs": (runs, references.orphans(runs, live("jobs", "id"), ["k"], write)),
     }
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, (_, lost) in _references(spark, d).items():
-        one = lost.select(F.lit(name).alias("table_name"), F.col("k").alias("ref_key"), references.period_of(F.col("at")).alias("load_month")).distinct()
+        one = lost.select(F.lit(name).alias("table_name"), F.col("k").alias("ref_key"), "load_month").distinct()
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def p3_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_report(_references(spark, d), _REF_KEY)
+    return references.orphan_report(_references(spark, d, settle), _REF_KEY)
 
 
 def _per_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _per_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    # the per-key results are written whole: else the optimizer would drop the joins, as naming keys needs their left counts only
+    # names the heavy keys of the per-key results, which are written whole; only their left counts decide
     one = eager.heavy(settle(_per_sample(spark, d))).select(F.lit("sample_key").alias("field_name"), "key_value")
     return one.unionByName(eager.heavy(settle(_per_identity(spark, d))).select(F.lit("identity_key").alias("field_name"), "key_value"))
 
