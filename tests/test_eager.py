@@ -27,3 +27,11 @@ def test_heavy_border_is_exact(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], "k string")
     assert eager.heavy(eager.share_of_rows(eager.eager_join(e, e, F.col("k"), F.col("k")), e)).count() == 0
+
+
+def test_sums_beyond_doubles_are_exact(spark):
+    big = 2**53 + 1
+    a = spark.createDataFrame([("a", big)], "k string, x bigint")
+    b = spark.createDataFrame([("a", big)] * 3, "k string, y bigint")
+    r = eager.eager_join(a, b, F.col("k"), F.col("k"), {"sx": F.col("x")}, {"sy": F.col("y")}).first()
+    assert int(r["joined_sx"]) == 3 * big and int(r["joined_sy"]) == 3 * big

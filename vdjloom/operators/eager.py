@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def eager_join(
@@ -23,6 +24,7 @@ def eager_join(
     joined_rows (what an inner join would have), and for each named sum its own value and
     joined_<name>, its sum over the inner join's rows. Null keys are a key of their own that
     matches nothing. Nulls add nothing to sums; a sum of no value is null, its joined form too.
+    Sums of whole numbers are multiplied as whole numbers of up to 38 digits, others in their own type.
 
     Scale: both group-bys combine map-side, so a key with a third of all rows is one row per
     task in the shuffle, and one row in the join.
@@ -39,10 +41,14 @@ def eager_join(
     wide = "decimal(38,0)"
     out = [F.col("key_value"), *(F.col(c) for c in carry), F.col(f"{n}_left"), nr.alias(f"{n}_right")]
     out.append((F.col(f"{n}_left").cast("decimal(19,0)") * nr.cast("decimal(19,0)")).cast(wide).alias("joined_rows"))
-    for k in sums_left or {}:
-        out += [F.col(k), (F.col(k).cast("double") * nr).alias(f"joined_{k}")]
-    for k in sums_right or {}:
-        out += [F.col(k), (F.col(k).cast("double") * F.col(f"{n}_left")).alias(f"joined_{k}")]
+
+    def times(k: str, rows: Column) -> Column:
+        if isinstance(joined.schema[k].dataType, T.IntegralType):
+            return (F.col(k).cast("decimal(19,0)") * rows.cast("decimal(19,0)")).cast(wide)
+        return F.col(k) * rows.cast("decimal(19,0)")
+
+    out += [c for k in sums_left or {} for c in (F.col(k), times(k, nr).alias(f"joined_{k}"))]
+    out += [c for k in sums_right or {} for c in (F.col(k), times(k, F.col(f"{n}_left")).alias(f"joined_{k}"))]
     return joined.select(*out)
 
 
