@@ -53,3 +53,18 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "A_1,B_2", "x", "y", 1), (2, "A_1", "x", "y", 1), (3, "B_2", "x", "y", 1)], "id bigint, v_call string, packed string, field_name string, n int")
     got = packed.split_packed(df, "id", ["v_call"], settle).collect()
     assert sorted((r["id"], r["pos"], r["item"]) for r in got) == [(1, 1, "A_1"), (1, 2, "B_2")]
+
+
+@pytest.mark.parametrize("times", [1, 3, 4, 7])
+def test_lists_encoded_many_times(spark, times):
+    import json
+
+    text = NAMES[:3]
+    for _ in range(times):
+        text = json.dumps(text)
+    assert split(spark, [(1, text), (2, "A_1")]) == {1: NAMES[:3]}
+
+
+def test_wrapped_many_times(spark):
+    known = [(100 + i, "A_1") for i in range(20)] + [(200 + i, "B_2") for i in range(20)]
+    assert split(spark, known + [(1, "[{['`A_1,B_2`']}]"), (2, "'" * 3001)]) == {1: ["A_1", "B_2"]}

@@ -44,13 +44,12 @@ Parse = tuple[float, list[tuple[str, bool]]]  # bits without its values, values
 
 
 def _json_list(t: str) -> list[str] | None:
-    """The strings of a JSON array, also of one that is a JSON string itself; else None."""
-    for _ in range(3):
-        if not t or t[0] not in '["':
-            return None
+    """The strings of a JSON array, also of one that is a JSON string itself, however often; else None.
+    Every turn of the loop makes the text shorter."""
+    while t and t[0] in '["':
         try:
             x = json.loads(t)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
         if isinstance(x, list):
             out = []
@@ -117,39 +116,40 @@ def _delimited(t: str, delimiter: re.Pattern, quotes: bool) -> list[tuple[str, b
         i = m.end()
 
 
-def parses(s: str, depth: int = 0) -> dict[str, Parse]:
-    """Every dialect that fits s: its bits and its values (blank and bad-call words dropped)."""
-    t = s.strip()
+def parses(s: str) -> dict[str, Parse]:
+    """Every dialect that fits s: its bits and its values (blank and bad-call words dropped). Quotes or brackets around
+    the whole are taken off one after the other, as long as there are any."""
     out: dict[str, Parse] = {}
+    t, layer = s.strip(), 0
+    while True:
+        wrapped, wrap = "wrapped " * layer, WRAP_BITS * layer
 
-    def add(name: str, bits: float, items: list[tuple[str, bool]] | None) -> None:
-        if items is not None:
+        def add(name: str, bits: float, items: list[tuple[str, bool]]) -> None:
             good = [x for x in items if x[0].upper() not in _BAD]
-            out[name] = (bits + BAD_BITS * (len(items) - len(good)), good)
-
-    listed = _json_list(t)
-    if listed is not None:  # says itself where each value ends
-        add("json", 1.0, [(x.strip(), True) for x in listed])
-        return out
-    add("plain", 1.0, [(t, False)])
-    marked = any(c in t for c in QUOTES) or "\\" in t
-    for name, (pattern, bits) in _COMPILED.items():
-        if pattern.search(t):
-            add(name, bits, _delimited(t, pattern, False))
-            if marked:
-                add(name + " quoted", bits + 1, _delimited(t, pattern, True))
-    if len(t) > 1 and depth < 3:
-        inner = None
+            out[wrapped + name] = (wrap + bits + BAD_BITS * (len(items) - len(good)), good)
+
+        listed = _json_list(t)
+        if listed is not None:  # says itself where each value ends
+            add("json", 1.0, [(x.strip(), True) for x in listed])
+            return out
+        add("plain", 1.0, [(t, layer > 0)])
+        marked = any(c in t for c in QUOTES) or "\\" in t
+        for name, (pattern, bits) in _COMPILED.items():
+            if pattern.search(t):
+                add(name, bits, _delimited(t, pattern, False))
+                quoted = _delimited(t, pattern, True) if marked else None
+                if quoted is not None:
+                    add(name + " quoted", bits + 1, quoted)
+        if len(t) < 2:
+            return out
         if QUOTES.get(t[0]) == t[-1]:
             body = t[1:-1]
-            inner = body.replace(t[-1] * 2, t[-1]) if t[-1] * 2 in body else body.replace("\\" + t[-1], t[-1])
+            t = body.replace(t[-1] * 2, t[-1]) if t[-1] * 2 in body else body.replace("\\" + t[-1], t[-1])
         elif BRACKETS.get(t[0]) == t[-1]:
-            inner = t[1:-1]
-        if inner is not None:
-            for name, (bits, items) in parses(inner, depth + 1).items():
-                wrapped = [(v, True) if name == "plain" else (v, q) for v, q in items]
-                out[f"wrapped {name}"] = (bits + WRAP_BITS, wrapped)
-    return out
+            t = t[1:-1]
+        else:
+            return out
+        t, layer = t.strip(), layer + 1
 
 
 def spelled(value: str, quoted: bool) -> float:
