@@ -7,6 +7,7 @@ probabilities, at random but keeping both expectations and the pair's total size
 is integral. Each task keeps one unsettled document per source; these residuals meet in a
 reduction tree, so a source's final size differs from its target by one document at most.
 Documents meet in order of falling size, so that the one left open at the end is a small one.
+A document that stays open draws anew at each level: a draw it has survived tells something about it.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def move(p_a: float, w_a: float, p_b: float, w_b: float, u: float) -> tuple[floa
 
 def _settle(rows: Iterator[tuple]) -> Iterator[tuple]:
     """rows: (source, doc_id, tokens, copies, p, u). Gives every row back with p = 0 or 1 added
-    to its copies, but for one row of each source that stays open (0 < p < 1)."""
+    to its copies, but for one row of each source that stays open (0 < p < 1). A row's u is used once, when it comes."""
     held: dict = {}
     for s, d, w, c, p, u in rows:
         if 0 < p < 1 and w <= 0:
@@ -104,7 +105,7 @@ def mix(sizes: DataFrame, targets: DataFrame, settle, seed: int = 11) -> DataFra
     sizes: (doc_id, source_key, n_tokens), written already; documents whose source has no
     target are left out. settle: writes a table and reads it back. The result is the same on
     every run: chance comes from a hash of doc_id and seed. Documents without tokens are
-    rounded one by one. Null doc_ids are kept as documents. No source is taken more often than
+    rounded one by one. Null doc_ids are kept as documents; rows of one doc_id share their draws. No source is taken more often than
     max_repeats. A hot source is no hot task: tasks hold any documents, and every task sends on
     one open document per source.
     """
@@ -112,8 +113,13 @@ def mix(sizes: DataFrame, targets: DataFrame, settle, seed: int = 11) -> DataFra
     few = targets.limit(SMALL_TARGETS + 1).count() <= SMALL_TARGETS  # the size check of the broadcast
     docs = sizes.filter("source_key is not null").join(F.broadcast(rates) if few else rates, "source_key")
     kind = sizes.schema["doc_id"].dataType.simpleString()
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))).alias("u")
-    rows = docs.select(F.col("source_key").alias("source"), "doc_id", F.col("n_tokens").alias("tokens"), F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("p"), u)
+
+
+    def draw(level: int) -> Column:
+        """A number from 0 to 1 for each document, another at each level."""
+        return (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53))).alias("u")
+
+    rows = docs.select(F.col("source_key").alias("source"), "doc_id", F.col("n_tokens").alias("tokens"), F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("p"), draw(0))
     schema = f"source string, doc_id {kind}, tokens bigint, copies int, p double, u double"
     level = settle(rows.sortWithinPartitions(F.desc("tokens"), "doc_id").mapInPandas(_round, schema).withColumn("node", F.spark_partition_id()))
     done, nodes = level.filter("p = 0").select(*_COLS), max(1, level.agg(F.max("node")).first()[0] or 0) + 1
@@ -123,19 +129,22 @@ def mix(sizes: DataFrame, targets: DataFrame, settle, seed: int = 11) -> DataFra
         p = p.sort_values(["tokens", "u"], ascending=[False, True])
         return pd.DataFrame(list(_settle(p[_COLS].itertuples(index=False, name=None))), columns=_COLS).assign(node=p["node"].iloc[0])
 
+    depth = 0
     while nodes > 1:
-        nodes = -(-nodes // FAN_IN)
-        step = open_.withColumn("node", (F.col("node") / FAN_IN).cast("int")).groupBy("source", "node").applyInPandas(one, schema + ", node int")
+        nodes, depth = -(-nodes // FAN_IN), depth + 1
+        step = open_.withColumn("u", draw(depth)).withColumn("node", (F.col("node") / FAN_IN).cast("int")).groupBy("source", "node").applyInPandas(one, schema + ", node int")
         step = settle(step)
         done, open_ = done.unionByName(step.filter("p = 0").select(*_COLS)), step.filter("p > 0")
-    last = open_.select("source", "doc_id", "tokens", (F.col("copies") + (F.col("u") < F.col("p")).cast("int")).alias("copies"), F.lit(0.0).alias("p"), "u")
+    last = open_.withColumn("u", draw(depth + 1)).select("source", "doc_id", "tokens", (F.col("copies") + (F.col("u") < F.col("p")).cast("int")).alias("copies"), F.lit(0.0).alias("p"), "u")
     return done.unionByName(last).select(F.col("source").alias("source_key"), "doc_id", "tokens", "copies")
 
 
 def report(sizes: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """shares() with what was reached: mixed_tokens, most_copies and actual_share of the mix."""
-    got = mixed.groupBy("source_key").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
+    """shares() with what was reached: mixed_tokens, most_copies, least_copies and actual_share of the mix, and exhausted:
+    every document of the source was taken max_repeats times (or it has none)."""
+    got = mixed.groupBy("source_key").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"), F.min("copies").alias("least_copies"))
     whole = mixed.agg(F.sum(F.col("tokens") * F.col("copies"))).scalar()
     out = shares(sizes, targets).join(got.withColumnRenamed("source_key", "_g"), F.col("source_key") == F.col("_g"), "left").drop("_g")
     m = F.coalesce("mixed_tokens", F.lit(0)).cast("bigint")
+    out = out.withColumn("exhausted", F.coalesce(F.col("least_copies") >= F.col("max_repeats"), F.lit(True)))
     return out.withColumn("mixed_tokens", m).withColumn("actual_share", F.when(whole > 0, m.cast("double") / whole.cast("double")))
