@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vdjloom.llm import bitmaps, frequent, top_n
+from vdjloom.plans.durable import settle
 
 quick = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -41,6 +42,17 @@ def test_frequent_hot_value_and_total(spark):
     assert top(spark, rows, 1, weight=False)[0] == [("hot", 5000, 5000)]
 
 
+def test_frequent_merges_sorted_runs_in_a_tree(spark):
+    """The sort stands below the merge, and the heaps of many ranges meet in more than one level."""
+    df = spark.range(200_000).select((F.col("id") % 5003).cast("string").alias("v"), (F.col("id") % 7).alias("w"))
+    f = frequent.frequent_items(df, "v", "w", 20, ranges=70)
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # runs, merge, and two levels: 70 ranges to 3 to 1
+    assert "Sort [value" in plan.split("MapInArrow")[-2]
+    want = df.groupBy("v").agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "v").limit(20)
+    assert [(r["value"], r["weight"]) for r in f.orderBy("rank").collect()] == [tuple(r) for r in want.collect()]
+
+
 def test_frequent_empty_and_long(spark):
     assert top(spark, [], 3)[0] == []
     assert top(spark, [(None, 1, "", "", "")], 3)[0] == []
@@ -94,18 +106,18 @@ def test_loser_tree_merges(runs):
 
 
 def test_sizing():
-    assert bitmaps.segments_for(1000, 0.02) == 1
-    s = bitmaps.segments_for(5e6, 0.01)
-    assert bitmaps.standard_error(5e6, s * bitmaps.SEGMENT_BITS) <= 0.01 and s * bitmaps.SEGMENT_BITS * 8 >= 5e6
+    assert bitmaps.bits_for(1000, 0.02) == bitmaps.LEAST_BITS
+    m = bitmaps.bits_for(5e6, 0.01)
+    assert bitmaps.standard_error(5e6, m) <= 0.01 and m * 8 >= 5e6
     with pytest.raises(ValueError):
-        bitmaps.segments_for(10, 0)
+        bitmaps.bits_for(10, 0)
 
 
 def test_estimates_lie_within_their_error(spark):
     rows = [("a", i % 20_000) for i in range(40_000)] + [("b", i) for i in range(500)] + [("c", 1)] * 50
     df = spark.createDataFrame(rows, "g string, v bigint").withColumn("v", F.col("v").cast("string"))
-    for seg in (1, 4):
-        e = {r["g"]: r for r in bitmaps.estimate(bitmaps.sketch(df, ["g"], "v", seg), ["g"], seg).collect()}
+    for m in (32_768, 131_072):
+        e = {r["g"]: r for r in bitmaps.estimate(bitmaps.sketch(df, ["g"], "v", m), ["g"], m).collect()}
         for g, n in (("a", 20_000), ("b", 500), ("c", 1)):
             assert abs(e[g]["estimate"] - n) <= max(1.0, 4 * e[g]["std_error"] * n)
             assert e[g]["set_bits"] <= n
@@ -114,9 +126,9 @@ def test_estimates_lie_within_their_error(spark):
 
 def test_parts_merge_to_the_same_bitmap(spark):
     df = spark.createDataFrame([(str(i % 7), str(i % 900)) for i in range(3000)], "d string, v string")
-    whole = bitmaps.estimate(bitmaps.sketch(df.withColumn("k", F.lit(1)), ["k"], "v"), ["k"], 1).first()["set_bits"]
+    whole = bitmaps.estimate(bitmaps.sketch(df.withColumn("k", F.lit(1)), ["k"], "v"), ["k"], bitmaps.LEAST_BITS).first()["set_bits"]
     parts = bitmaps.merge(bitmaps.sketch(df, ["d"], "v"), [])
-    assert bitmaps.estimate(parts, [], 1).first()["set_bits"] == whole
+    assert bitmaps.estimate(parts, [], bitmaps.LEAST_BITS).first()["set_bits"] == whole
 
 
 def test_every_combination(spark):
@@ -131,10 +143,39 @@ def test_more_than_a_million_values(spark):
         assert r["std_error"] <= 0.02 and abs(r["estimate"] - 2_000_000) <= 4 * r["std_error"] * 2_000_000
 
 
+def test_five_million_values(spark):
+    df = spark.range(5_000_000).select(F.lit("x").alias("g"), F.col("id").cast("string").alias("v"))
+    r = bitmaps.distinct_counts(df, ["g"], "v").first()
+    assert r["std_error"] <= 0.02 and abs(r["estimate"] - 5_000_000) <= 4 * r["std_error"] * 5_000_000
+
+
+def test_small_sets_are_few_words(spark):
+    df = spark.range(3000).select(F.col("id").alias("g"), F.col("id").cast("string").alias("v"))
+    assert bitmaps.sketch(df, ["g"], "v", 1 << 22).count() == 3000
+
+
+def test_repeating_sets_of_all_sizes(spark):
+    """Sets far from the border are decided by their estimate, those at it exactly, and so are sets whose bitmap is full."""
+    n = F.expr("case when id < 100000 then 'far_in' when id < 200000 then 'far_out' when id < 300000 then 'just_in' when id < 400000 then 'just_out' else 'full' end")
+    v = F.expr("case when id < 100000 then id % 10000 when id < 200000 then id when id < 300000 then id % 39999 when id < 400000 then id % 40000 else id % 900000 end")
+    df = spark.range(3_000_000).select(n.alias("g"), v.cast("string").alias("v"))
+    for settle_, n_max in ((None, None), (None, 1000.0), (settle, None)):
+        got = {r["g"] for r in bitmaps.strongly_repeating(df, ["g"], "v", n_max=n_max, settle=settle_).collect()}
+        assert got == {"far_in", "just_in", "full"}
+
+
+def test_outside_counts_bad_estimates(spark):
+    df = spark.range(40_000).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("string").alias("v"))
+    e = bitmaps.distinct_counts(df, ["g"], "v")
+    assert sorted(map(tuple, bitmaps.outside(df, ["g"], "v", e).collect())) == [("", 1, 40_000, 0), ("g", 2, 40_000, 0)]
+    bad = e.withColumn("estimate", F.col("estimate") * 2)
+    assert sorted(map(tuple, bitmaps.outside(df, ["g"], "v", bad).collect())) == [("", 1, 40_000, 1), ("g", 2, 40_000, 2)]
+
+
 def test_full_bitmaps_have_no_estimate(spark):
     df = spark.range(600_000).select(F.when(F.col("id") < 9, "few").otherwise("many").alias("g"), F.col("id").cast("string").alias("v"))
-    e = {r["g"]: r for r in bitmaps.estimate(bitmaps.sketch(df, ["g"], "v"), ["g"], 1).collect()}
-    assert e["many"]["set_bits"] == bitmaps.SEGMENT_BITS and e["many"]["estimate"] is None and e["many"]["std_error"] is None
+    e = {r["g"]: r for r in bitmaps.estimate(bitmaps.sketch(df, ["g"], "v"), ["g"], bitmaps.LEAST_BITS).collect()}
+    assert e["many"]["set_bits"] == bitmaps.LEAST_BITS and e["many"]["estimate"] is None and e["many"]["std_error"] is None
     assert round(e["few"]["estimate"]) == 9
 
 

@@ -90,6 +90,11 @@ def test_fill_does_not_hang_on_partitions(spark):
         assert len(held) <= least * 1.01 + 2 if tasks is None else len(held) <= least * 1.05
 
 
+def test_cut_texts_lie_in_several_containers(spark):
+    df = spark.createDataFrame([(1, 2048), (2, 2049), (3, 4096), (4, None), (5, 1), (6, 9000)], "doc_id bigint, n_tokens bigint")
+    assert sorted(r[0] for r in packing.in_several(packing.pack(df)).collect()) == [2, 3, 6]
+
+
 def test_tokens_cut_and_joined_again():
     e = tokens.encoder()
     text = "Größe 引物 cells are small. " * 900
@@ -139,6 +144,7 @@ def test_shares_are_reached(spark):
         want = min(r["wanted_tokens"], r["capacity_tokens"])
         assert abs(r["mixed_tokens"] - want) <= 400, r
         assert (r["most_copies"] or 0) <= r["max_repeats"]
+    assert {s for s, r in rep.items() if r["exhausted"] and r["mixed_tokens"] < r["wanted_tokens"]} == {s for s, r in rep.items() if not r["can_fill"]}
     assert rep["absent"]["can_fill"] is False and rep["absent"]["mixed_tokens"] == 0
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-9
     again = sorted(map(tuple, mixing.mix(sizes, t, settle).collect()), key=str)
@@ -158,6 +164,23 @@ def test_mix_of_nothing(spark):
     assert r["mixed_tokens"] == 0 and r["actual_share"] is None
 
 
+def test_each_document_keeps_its_expectation(spark):
+    """Many sources alike stand for many seeds: the mean copies of the document at each place, and their joint size."""
+    n, places, share = 9_000, 20, 0.3
+    rows = spark.range(n * places).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.col("id") / places)).alias("source_key"), (F.lit(10) + (F.col("id") % places) * 3).alias("n_tokens"), (F.col("id") % places).alias("place")
+    )
+    sizes = settle(rows.repartition(3))
+    total = sum(10 + 3 * i for i in range(places))
+    targets = spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(share / n).alias("target_share"), F.lit(1).alias("max_repeats"))
+    got = settle(mixing.mix(sizes.drop("place"), targets, settle)).join(sizes.select("doc_id", "place"), "doc_id")
+    error = (share * (1 - share) / n) ** 0.5
+    for r in got.groupBy("place").agg(F.avg("copies").alias("m")).collect():
+        assert abs(r["m"] - share) < 3.3 * error, r
+    off = got.groupBy("source_key").agg(F.abs(F.sum(F.col("copies") * F.col("tokens")) - share * total).alias("d")).agg(F.max("d")).first()[0]
+    assert off <= 10 + 3 * places
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_expectation_is_kept(seed):
     rng = random.Random(seed)

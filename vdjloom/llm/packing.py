@@ -166,6 +166,11 @@ def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", capaci
     return packed.unionByName(whole).unionByName(empty)
 
 
+def in_several(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The keys whose pieces lie in more than one container (texts larger than a container)."""
+    return packed.groupBy(key).agg(F.min("container").alias("_a"), F.max("container").alias("_b")).filter("_a <> _b").select(key)
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, unused tokens and their share, whole and cut items' pieces."""
     each = packed.filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.max("n_pieces").alias("p"))

@@ -40,6 +40,9 @@ def p2_top_identities(spark: SparkSession, d: str) -> DataFrame:
     return _top_identities(spark, d).select(F.col("group_key").alias("group_id"), F.col("item_key").alias("identity_key"), F.col("score").cast("bigint").alias("total_weight"), "rank")
 
 
+_DIMS = ["day", "group_id", "primer"]
+
+
 def _values(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "composition_records")
     day = F.date_format(F.coalesce("created_at", "loaded_at"), "yyyy-MM-dd").alias("day")
@@ -50,14 +53,26 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "composition_records").filter("aa_value is not null")
     rows = once(r, "id", "group_id", F.coalesce("primer", F.lit("")).alias("primer"), value_key("aa_value").alias("value"))
-    return bitmaps.strongly_repeating(rows, ["group_id", "primer"], "value").select("group_id", "primer")
+    # rows as delivered: never fewer than the distinct values, and counted without a shuffle of the values
+    most = max(bitmaps.LEAST_MAX, r.count())
+    return bitmaps.strongly_repeating(rows, ["group_id", "primer"], "value", n_max=most, settle=settle).select("group_id", "primer")
+
+
+def _counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    # rows as delivered, as in p5_found
+    most = max(bitmaps.LEAST_MAX, table(spark, d, "composition_records").filter("aa_value is not null").count())
+    v = _values(spark, d)
+    return v, bitmaps.distinct_counts(v, _DIMS, "value", 0.02, most, settle)
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    # rows as delivered: never fewer than the distinct values, and counted without a shuffle of the values
-    most = table(spark, d, "composition_records").filter("aa_value is not null").count()
-    e = bitmaps.distinct_counts(_values(spark, d), ["day", "group_id", "primer"], "value", 0.02, max(bitmaps.LEAST_MAX, most), settle)
-    return e.select("grouping", "day", "group_id", "primer", "n_rows", F.round("estimate", 2).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+    e = _counts(spark, d)[1]
+    return e.select("grouping", *_DIMS, "n_rows", F.round("estimate", 2).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
+def p5_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    v, e = _counts(spark, d)
+    return bitmaps.outside(v, _DIMS, "value", e)
 
 
 def _sizes(spark: SparkSession, d: str, *more) -> DataFrame:
@@ -70,7 +85,7 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).filter("n_pieces > 1 and piece = 0").select("doc_id")
+    return packing.in_several(_packed(spark, d))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +103,8 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(*_mix(spark, d)).filter("not can_fill and mixed_tokens < wanted_tokens").select("source")
+    # read off the mix: all documents taken as often as allowed, and still less than wanted
+    return mixing.report(*_mix(spark, d)).filter("exhausted and mixed_tokens < wanted_tokens").select("source")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +129,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_top_values, p2_found, p2_top_identities, p5_found, p5_counts,
+    p1_found, p1_top_values, p2_found, p2_top_identities, p5_found, p5_counts, p5_accuracy,
     p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_levels,
 )}
 
@@ -136,4 +152,8 @@ ORACLE = {
 with r as (select distinct id, group_id, coalesce(primer, '') as primer, {_V} as v from composition_records),
      s as (select group_id, primer, count(*) as n, count(distinct v) as k from r where v <> '' group by all)
 select group_id, primer from s where n >= 20 and 5 * k < 2 * n""",
+    "p5_accuracy": f"""
+with r as (select distinct id, strftime(coalesce(created_at, loaded_at), '%Y-%m-%d') as day, group_id, coalesce(primer, '') as primer, {_V} as v from composition_records),
+     g as ({" union all ".join(f"select '{','.join(g)}' as grouping, count(distinct v) as k from r where v <> '' group by {', '.join(g) if g else '()'}" for g in bitmaps.groupings(_DIMS))})
+select grouping, count(*) as n_sets, cast(sum(k) as bigint) as n_distinct, cast(0 as bigint) as n_outside from g group by 1""",
 }
