@@ -46,8 +46,28 @@ def test_ranker_orders_pairs():
 
 
 def test_weighted_median():
-    assert R.weighted_median(np.array([1.0, 9.0]), np.array([1.0, 8.0])) == 9.0
-    assert R.weighted_median(np.array([3.0, 1.0]), np.array([2.0, 2.0])) == 2.0
+    assert R.weighted_median([1.0, 9.0], [1.0, 8.0]) == 9.0
+    assert R.weighted_median([3.0, 1.0], [2.0, 2.0]) == 2.0
+    assert R.weighted_median([3.0], [0]) == 3.0
+
+
+@given(st.lists(st.text("ab ,.;:é_1/引物。，\n-'", max_size=40), max_size=4))
+def test_scorer_is_the_features_times_the_weights(parts):
+    """The quick way over words and the features the ranker was trained on give one score."""
+    text = "\n".join(parts)
+    model = R.ReadingModel(np.random.default_rng(2).normal(size=R.SYNTAX + R.VOCABULARY), [], 0, 0)
+    out, size = [], []
+    for f in filter(None, map(R.sentence_features, R._prose(text))):
+        out.append(float(model.weights[: R.SYNTAX] @ np.array(f[0])) + (float(model.weights[R.SYNTAX :][f[1]].mean()) if f[1] else 0.0))
+        size.append(min(len(f[1]), R.FULL_SENTENCE))
+    got = model.score(text)
+    assert got is None if not out else abs(got - R.weighted_median(out, size)) < 1e-9
+
+
+def test_names_are_no_vocabulary():
+    words = R._WORD.findall(R._CODED.sub(" ", "see run_3/a.csv now, b=1 and c2 there x"))
+    assert words == ["see", "now", "and", "there", "x"]
+    assert R._CODED.sub(" ", "x" * 300_000) == "x" * 300_000
 
 
 def _frames(spark):
@@ -66,6 +86,15 @@ def test_held_out_accuracy(spark):
     assert len(hit) > 40 and sum(hit) / len(hit) > 0.9 and sum(near) / len(near) > 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_five_folds(spark):
+    """What the README says of documents that the model has not seen."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "reading_marks"))
+    got = R.train(docs, marks).held_out
+    assert got["demanding_as_marked"][1] > 1000 and got["demanding_as_marked"][0] > 0.95
+    assert got["demanding_as_agreed"][0] > 0.98 and got["within_one_level"][0] > 0.97
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_odd_texts_and_no_marks(spark):
     docs, marks = _frames(spark)

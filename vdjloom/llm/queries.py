@@ -115,22 +115,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mix(spark, d))
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return reading.reading_levels(docs, reading.train(docs, table(spark, d, "reading_marks")))
+def _model(spark: SparkSession, d: str) -> reading.ReadingModel:
+    return reading.train(table(spark, d, "documents"), table(spark, d, "reading_marks"), settle=settle)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading.demanding(_levels(spark, d))
+    return reading.demanding(p9_levels(spark, d))
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d)
+    return reading.reading_levels(table(spark, d, "documents"), _model(spark, d))
+
+
+def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(name, share, n) for name, (share, n) in _model(spark, d).held_out.items()]
+    return spark.createDataFrame(rows, "measure string, share double, documents bigint")
 
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_top_values, p2_found, p2_top_identities, p5_found, p5_counts, p5_accuracy,
-    p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_levels,
+    p7_found, p7_containers, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_accuracy,
 )}
 
 _V = f"upper({sql_strip('aa_value')})"
