@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +25,13 @@ def header_of(spark: SparkSession, path: str, comment: str = "#") -> tuple[list[
     return [c.strip().strip('"') for c in text.split(sep)], sep
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, required: list[str] | None = None, on_ragged: str = "pad", comment: str | None = "#") -> DataFrame:
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, required: list[str] | None = None, on_ragged: str = "pad", comment: str | None = "#", lines_in_fields: bool = False) -> DataFrame:
     """A CSV or TSV (plain or gzip) with header, all columns strings.
 
     columns: only these are read (null where the file has none of that name). Of columns
     with one name the last counts. on_ragged: pad gives short rows nulls; error fails on rows
-    whose number of fields differs. Missing required columns raise.
+    whose number of fields differs. Missing required columns raise. A quote within quotes is doubled.
+    lines_in_fields: quoted fields may hold line ends (a file is then one task).
     """
     names, sep = header_of(spark, path, comment or "\0")
     missing = [c for c in required or [] if c not in names]
@@ -34,7 +39,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     unique = [n if n not in names[i + 1 :] else f"_dropped_{i}" for i, n in enumerate(names)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
-    r = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").option("mode", "FAILFAST" if on_ragged == "error" else "PERMISSIVE")
+    r = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", lines_in_fields).option("mode", "FAILFAST" if on_ragged == "error" else "PERMISSIVE")
     df = (r.option("comment", comment) if comment else r).csv(path)
     want = columns or [n for n in unique if not n.startswith("_dropped_")]
     return df.select(*(F.col(f"`{c}`") if c in unique else F.lit(None).cast("string").alias(c) for c in want))
@@ -57,29 +62,72 @@ def read_droplet(spark: SparkSession, path: str, fields: list[str]) -> DataFrame
     return df.select(*(F.coalesce(F.col(f), F.lit("")).alias(f) if f in df.columns and f != "umi_counts" else F.col(f) if f == "umi_counts" else F.lit("").alias(f) for f in fields))
 
 
+COMPRESSED = (".gz", ".bgz", ".bz2", ".zst", ".xz")
+
+
 def read_fastq(spark: SparkSession, path: str, stage: str = "") -> DataFrame:
     """Reads of FASTQ files: (source, stage, ordinal, title, canonical, sequence, quality, mean_quality, expected_errors,
     valid). Four lines make a record; a record whose marks or lengths do not fit has valid = false.
 
-    Lines are numbered within their file by the byte order in which Spark reads it (gzip files are
-    one partition each); a record is a small group of four lines, so nothing of a file is gathered.
+    Compressed files are one partition each: records are put together as their lines stream by, and nothing is
+    moved. Plain files are read in blocks: lines are numbered by the place of their block in the file, and
+    the lines of a record meet by its number.
     """
-    lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_b"), "value")
-    rows = lines.rdd.mapPartitionsWithIndex(lambda i, it: ((r[0], r[1] or 0, i, k, r[2]) for k, r in enumerate(it))).toDF("source string, b bigint, part int, k bigint, value string")
-    sizes = rows.groupBy("source", "b", "part").agg(F.count(F.lit(1)).alias("_n"), F.min("k").alias("_k0"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("source").orderBy("b", "part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col("source").alias("_s"), F.col("b").alias("_bb"), F.col("part").alias("_p"), "_k0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    at = rows.join(shift, (F.col("source") == F.col("_s")) & (F.col("b") == F.col("_bb")) & (F.col("part") == F.col("_p"))).withColumn("line", F.col("k") - F.col("_k0") + F.col("_before"))
-    pick = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
-    rec = at.groupBy("source", F.floor(F.col("line") / 4).alias("_o")).agg(pick(0).alias("t"), pick(1).alias("s"), pick(2).alias("plus"), pick(3).alias("q"))
+    text = spark.read.text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_b"), "value")
+    if all(f.lower().endswith(COMPRESSED) for f in text.inputFiles()):
+        rec = lines.select("source", "value").mapInArrow(_four_lines, "source string, _o bigint, t string, s string, plus string, q string")
+    else:
+        rec = _numbered_records(lines)
     valid = F.coalesce(F.startswith("t", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("s") == F.length("q")), F.lit(False))
-    title = F.substring("t", 2, 1_000_000)
+    title = F.col("t").substr(F.lit(2), F.length("t"))
     out = rec.select("source", F.lit(stage).alias("stage"), (F.col("_o") + 1).cast("bigint").alias("ordinal"), title.alias("title"), canonical_header(title).alias("canonical"), F.upper("s").alias("sequence"), F.col("q").alias("quality"), valid.alias("valid"))
     return out.withColumn("_q", quality("quality")).select("*", "_q.mean_quality", "_q.expected_errors").drop("_q")
 
 
+def _four_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every four lines of a file as one row; a file's lines come in order, one file after the other."""
+    held: pa.Table | None = None
+    source, n = None, 0
+
+    def rows(t: pa.Table, name: str, first: int) -> pa.RecordBatch:
+        v, k = t.column("value").combine_chunks(), -(-t.num_rows // 4)
+        part = [v.take(pa.array([x if x < len(v) else None for x in range(i, 4 * k, 4)], pa.int64())) for i in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array([name] * k, pa.string()), pa.array(range(first, first + k), pa.int64()), *part], names=["source", "_o", "t", "s", "plus", "q"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        while t.num_rows:
+            name = t.column("source")[0].as_py()
+            if name != source:
+                if held is not None and held.num_rows:
+                    yield rows(held, source, n)
+                held, source, n = None, name, 0
+            own = pc.equal(t.column("source"), name)
+            size = t.num_rows if pc.all(own).as_py() else pc.index(own, False).as_py()
+            mine, t = t.slice(0, size), t.slice(size)
+            held = mine if held is None else pa.concat_tables([held, mine])
+            whole = held.num_rows // 4 * 4
+            if whole:
+                yield rows(held.slice(0, whole), source, n)
+                n += whole // 4
+                held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield rows(held, source, n)
+
+
+def _numbered_records(lines: DataFrame) -> DataFrame:
+    """Records of files that are read in blocks. A line's place in its partition comes with the scan; a block's lines
+    follow each other there, and the scan cuts the same files in the same way each time."""
+    rows = lines.withColumn("_k", F.monotonically_increasing_id())
+    sizes = rows.groupBy("source", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_k0"))
+    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("source").alias("_s"), F.col("_b").alias("_bb"), "_k0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = rows.join(shift, (F.col("source") == F.col("_s")) & F.col("_b").eqNullSafe(F.col("_bb"))).withColumn("line", F.col("_k") - F.col("_k0") + F.col("_before"))
+    pick = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
+    return at.groupBy("source", F.floor(F.col("line") / 4).alias("_o")).agg(pick(0).alias("t"), pick(1).alias("s"), pick(2).alias("plus"), pick(3).alias("q"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(source, title, sequence) of FASTA files, sequences of several lines joined and upper-cased. Records are split
     by the reader at '\\n>'."""
@@ -105,7 +153,7 @@ def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mapping_inputs(spark: SparkSession, glob: str, chains: list[str] | None = None) -> DataFrame:
     """CSVs named <sample>__<chain>.csv with their sample and chain, the unknown chains left out."""
-    df = spark.read.option("header", True).csv(glob)
+    df = spark.read.option("header", True).option("escape", '"').csv(glob)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)__([A-Za-z0-9]+)\.csv(?:\.gz)?$", 1)
     chain = F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)__([A-Za-z0-9]+)\.csv(?:\.gz)?$", 2))
     return df.select("*", name.alias("sample"), chain.alias("chain")).filter(F.col("chain").isin(*(chains or CHAINS)))

@@ -6,6 +6,7 @@ like any other. Workbooks are small by contract and parsed on the driver.
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vdjloom.schemas import CHAINS
+from vdjloom.sources import xls
 
 # File endings of reads, and the endings of the two ends of a pair.
 EXTENSIONS = (".fastq.gz", ".fq.gz", ".fastq", ".fq")
@@ -162,14 +164,26 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def workbook(path: str, sheet: str | None = None) -> tuple[list[str], list[list[str]], list[tuple[int, int, int, int]]]:
-    """(sheet names, rows of texts, merged ranges as row and column bounds) of an XLSX file, by the standard library.
-    Saved values are read, formulas are not evaluated. Files beyond the size limits raise."""
-    import os
+def read_bytes(spark: SparkSession, path: str, most: int) -> bytes:
+    """A small file whole, from any file system Spark knows; larger ones raise."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    if size > most:
+        raise ValueError(f"{path} is larger than {most} bytes")
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
-    if os.path.getsize(path) > MAX_WORKBOOK:
+
+def workbook(source: str | bytes, sheet: str | None = None) -> tuple[list[str], list[list[str]], list[tuple[int, int, int, int]]]:
+    """(sheet names, rows of texts, merged ranges as row and column bounds) of a workbook (a local path, or its bytes), XLSX or
+    XLS, by the standard library. Saved values are read, formulas are not evaluated. Files beyond the size limits raise."""
+    if isinstance(source, str):
+        with open(source, "rb") as f:
+            source = f.read(MAX_WORKBOOK + 1)
+    if len(source) > MAX_WORKBOOK:
         raise ValueError("workbook larger than 20 MiB")
-    with zipfile.ZipFile(path) as z:
+    if source.startswith(xls.SIGNATURE):
+        return xls.workbook(source, sheet, MAX_CELLS)
+    with zipfile.ZipFile(io.BytesIO(source)) as z:
         if sum(i.file_size for i in z.infolist()) > MAX_UNPACKED:
             raise ValueError("workbook unpacks to more than 100 MiB")
         tree = lambda n: ElementTree.fromstring(z.read(n))
@@ -207,7 +221,7 @@ def cell(rows: list[list[str]], merged: list[tuple[int, int, int, int]], row: in
 def sheet_table(spark: SparkSession, path: str, sheet: str | None = None, header: int = 0) -> DataFrame:
     """A sheet as a DataFrame of texts with row_number; columns by the header row, blank rows left out, merged cells
     filled. Of columns with one name the last counts."""
-    _, rows, merged = workbook(path, sheet)
+    _, rows, merged = workbook(read_bytes(spark, path, MAX_WORKBOOK), sheet)
     names = [cell(rows, merged, header, c) for c in range(len(rows[header]) if rows else 0)]
     at = {n: c for c, n in enumerate(names) if n}
     out = [(r, *(cell(rows, merged, r, c) for c in at.values())) for r in range(header + 1, len(rows))]

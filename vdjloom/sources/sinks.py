@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import zipfile
+from collections.abc import Iterator
+from urllib.parse import unquote
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vdjloom.functions.text import strip
+from vdjloom.plans.durable import new_path
 
 # Columns of the public chart tables that hold numbers.
 NUMERIC = (
@@ -26,12 +34,93 @@ def export_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*((guarded(c).alias(c) if kinds[c] == "string" else F.col(c)) if c in kinds else F.lit(None).cast("string").alias(c) for c in columns))
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = ",", partition_by: list[str] | None = None) -> None:
-    """A directory of CSV parts with header; Spark's commit protocol publishes it at once."""
-    w = export_table(df, columns or df.columns).write.mode("overwrite").option("header", True).option("sep", sep)
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = ",", partition_by: list[str] | None = None, compression: str = "none") -> None:
+    """A directory of CSV parts with header; Spark's commit protocol publishes it at once. Outer white space stays, quotes
+    within quotes are doubled, null is empty and an empty text is a pair of quotes."""
+    w = export_table(df, columns or df.columns).write.mode("overwrite").option("header", True).option("sep", sep).option("compression", compression)
+    w = w.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)
 
 
+def write_lines(df: DataFrame, path: str, head: list[str], sep: str = "\t", compression: str = "none") -> None:
+    """A directory of delimited parts of text columns, each with the `head` lines (comments) and a header before its rows, as mapping
+    programs write them. Nulls are empty; values must not hold the delimiter or line ends."""
+    names = sep.join(df.columns)
+    line = F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value")
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([*head, names])], names=["value"])
+        yield from batches
+
+    df.select(line).mapInArrow(headed, "value string").write.mode("overwrite").option("compression", compression).text(path)
+
+
+def write_named(df: DataFrame, folder: str, name: str, columns: list[str] | None = None, sep: str = ",", most: int = 20_000) -> int:
+    """A CSV file of its own for each value of the column `name`, which is the file's name; tells how many.
+    All files are written aside and moved into the folder one by one when they are complete. More than `most` names raise."""
+    spark = df.sparkSession
+    keep = columns or [c for c in df.columns if c != name]
+    aside = new_path(spark)
+    out = export_table(df, [*keep, name]).withColumn("_name", F.col(name)).select(*keep, "_name")
+    w = out.repartition("_name").write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    w.partitionBy("_name").csv(aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    n = 0
+    for d in fs.listStatus(path(aside)):
+        if not d.isDirectory():
+            continue
+        n += 1
+        if n > most:
+            raise ValueError(f"more than {most} files")
+        value = unquote(d.getPath().getName().split("=", 1)[1])
+        parts = [f.getPath() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+        target = path(folder, value)
+        fs.delete(target, False)
+        if len(parts) != 1 or not fs.rename(parts[0], target):
+            raise ValueError(f"{value} could not be published")
+    return n
+
+
+def write_workbook(spark: SparkSession, path: str, sheet: str, rows: list[list[str]], merged: list[str] | None = None) -> None:
+    """A workbook of one sheet of texts with merged ranges (such as A2:A3); for tables of a few thousand cells."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def at(r: int, c: int) -> str:
+        letters = ""
+        while c >= 0:
+            letters, c = chr(65 + c % 26) + letters, c // 26 - 1
+        return f"{letters}{r + 1}"
+
+    cells = "".join(
+        f'<row r="{r + 1}">' + "".join(f'<c r="{at(r, c)}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows)
+    )
+    ranges = "".join(f'<mergeCell ref="{m}"/>' for m in merged or [])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>{cells}</sheetData>{f"<mergeCells>{ranges}</mergeCells>" if ranges else ""}</worksheet>')
+    write_bytes(spark, path, out.getvalue())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in any file system Spark knows; it is there whole or not at all."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = p(path + ".part")
+    f = fs.create(aside, True)
+    try:
+        f.write(data)
+    finally:
+        f.close()
+    fs.delete(p(path), False)
+    if not fs.rename(aside, p(path)):
+        raise ValueError(f"{path} could not be published")
+
+
 def fasta(header: Column | str, sequence: Column | str, width: int = 0) -> Column:
     """One FASTA record; width > 0 wraps the sequence."""
     s = F.col(sequence) if isinstance(sequence, str) else sequence
