@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from vdjloom.functions.text import BAD_CALLS, strip
+from vdjloom.functions.text import BAD_CALLS, WHITE_SPACE, strip
 
 # Fixed values.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -99,7 +99,7 @@ def natural_order(c: Column | str) -> Column:
     digits, rest = F.regexp_extract_all(name, F.lit(r"(\d+)")), F.split(name, r"\d+")
     # the texts between the runs: one more than there are runs
     return F.array_join(
-        F.transform(rest, lambda x, i: F.concat(x, F.when(i < F.size(digits), F.lpad(F.get(digits, i), 12, "0")).otherwise(""))), ""
+        F.transform(rest, lambda x, i: F.concat(x, F.when(i < F.size(digits), F.lpad(F.get(digits, i), F.greatest(F.lit(12), F.length(F.get(digits, i))), "0")).otherwise(""))), ""
     )
 
 
@@ -131,6 +131,27 @@ def count(c: str) -> Column:
     return F.when((d >= 0) & (d == F.floor(d)), F.expr(f"try_cast(try_cast({c} as decimal(38,6)) as bigint)"))
 
 
+# --- names for SQL ----------------------------------------------------------------------------
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """gene_order(name), gene_family(gene, segment) and gene_has(call, gene) as functions of the session's SQL. They are SQL
+    themselves, so the optimizer sees through them; they give what natural_order(), gene_family() and calls() give."""
+    q = lambda s: "r'" + s + "'"
+    name = r"split(upper(coalesce(gene, '')), r'\*')[0]"
+    family = f"""case segment when 'C' then regexp_extract({name}, {q(FAMILY_C)}, 1) when 'V' then regexp_extract({name}, {q(FAMILY_V)}, 1)
+      when 'J' then coalesce(nullif(regexp_extract({name}, {q(FAMILY_J)}, 1), ''), regexp_extract({name}, {q(FAMILY_J_ANY)}, 1)) else '' end"""
+    bad = ", ".join(f"'{b}'" for b in BAD_CALLS)
+    white = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
+    bodies = {
+        "gene_order(name string) returns string": r"""array_join(transform(regexp_extract_all(upper(coalesce(name, '')), r'(\d+|\D+)'), x -> case when x rlike r'^\d' and length(x) < 12 then lpad(x, 12, '0') else x end), '')""",
+        "gene_family(gene string, segment string) returns string": f"coalesce(nullif({family}, ''), {name})",
+        "gene_has(call string, gene string) returns boolean": f"""coalesce(array_contains(transform(filter(transform(split(call, '[,;]'), x -> trim(both '{white}' from x)), x -> upper(x) not in ({bad})), x -> substring_index(x, '*', 1)), gene), false)""",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"create or replace temporary function {head} return {body}")
+    return [h.split("(")[0] for h in bodies]
+
+
 # --- the same in DuckDB's SQL, for the checks -------------------------------------------------
 
 def sql_names(expr: str, separators: str = "[,;]") -> str:

@@ -49,8 +49,12 @@ def pct(num: Column, den: Column) -> Column:
     return F.when(den != 0, F.lit(100.0) * num.cast("double") / den.cast("double"))
 
 
+def sql_text(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
 def sql_list(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return ", ".join(map(sql_text, values))
 
 
 def sql_strip(expr: str) -> str:

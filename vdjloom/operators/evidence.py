@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vdjloom.plans.durable import settle
 from vdjloom.schemas import CHAINS
+from vdjloom.sources.sinks import write_bytes
 
 
 def published(runs: DataFrame, receipts: DataFrame, now: DataFrame) -> DataFrame:
@@ -125,9 +127,16 @@ def exports(usage: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def summary_json(tables: dict[str, DataFrame]) -> str:
-    """The tables' names, columns and row counts as JSON."""
-    return json.dumps({n: {"columns": t.columns, "rows": t.count()} for n, t in tables.items()}, sort_keys=True)
+def summary_json(tables: dict[str, DataFrame], status: str = "DONE", facts: dict[str, DataFrame] | None = None) -> str:
+    """A run's status, its tables' names, columns and row counts, and its facts (the first column of each frame's rows
+    names a value in the second), as JSON. All counts come from one job."""
+    counts = None
+    for n, t in tables.items():
+        one = t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("t"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    rows = {r["t"]: r["n"] for r in counts.collect()} if counts is not None else {}
+    known = {n: {str(r[0]): r[1] for r in f.collect()} for n, f in (facts or {}).items()}
+    return json.dumps({"status": status, "tables": {n: {"columns": t.columns, "rows": rows[n]} for n, t in tables.items()}, "facts": known}, sort_keys=True, default=str)
 
 
 def relabel(df: DataFrame, names: dict[str, str], values: dict[str, dict[str, str]] | None = None) -> DataFrame:
@@ -169,13 +178,101 @@ def candidate_genes(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("group_id", "segment", "candidates").agg(F.count(F.lit(1)).alias("records"))
 
 
-def snapshot(df: DataFrame, cached: dict[str, DataFrame], fingerprint: str) -> DataFrame:
-    """The table written under a fingerprint, or the one written before under the same."""
-    if fingerprint not in cached:
-        cached[fingerprint] = settle(df)
-    return cached[fingerprint]
+class Snapshots:
+    """Computed tables kept in a folder under a fingerprint of their inputs, for any later session.
+
+    A table is given out only if its mark names the same key and the same receipts of its sources, and its files have the
+    sizes they were written with. The folder holds `most_bytes` at most: the tables used least recently go first, but not the
+    one just written. A table is written aside and moved in place when it is complete. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, most_bytes: int = 50 * 1024**3):
+        self.spark, self.folder, self.most = spark, folder.rstrip("/"), most_bytes
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(folder))
+
+    def _at(self, key: str, name: str = "") -> str:
+        return f"{self.folder}/{hashlib.sha256(key.encode()).hexdigest()}{name}"
+
+    def _files(self, place: str) -> dict[str, int]:
+        return {f.getPath().getName(): f.getLen() for f in self._fs.listStatus(self._path(place)) if f.getPath().getName().startswith("part-")}
+
+    def load(self, key: str, version: str) -> DataFrame | None:
+        """The table of the key, or None where there is none, or it is not as it was written, or its sources have another
+        version (see version_of)."""
+        place = self._at(key)
+        mark = self._path(self._at(key, ".json"))
+        if not (self._fs.exists(mark) and self._fs.exists(self._path(place))):
+            return None
+        m = json.loads(self.spark.read.text(mark.toString(), wholetext=True).first()[0])
+        if (m["key"], m["version"], m["files"]) != (key, version, self._files(place)):
+            return None
+        self._fs.setTimes(mark, int(time.time() * 1000), -1)
+        return self.spark.read.schema(m["schema"]).parquet(place)
+
+    def seal(self, key: str, version: str, df: DataFrame) -> DataFrame:
+        aside, place, mark = self._at(key, ".part"), self._at(key), self._at(key, ".json")
+        df.write.mode("overwrite").parquet(aside)
+        schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+        self._fs.delete(self._path(mark), False)
+        self._fs.delete(self._path(place), True)
+        if not self._fs.rename(self._path(aside), self._path(place)):
+            raise ValueError(f"{place} could not be published")
+        write_bytes(self.spark, mark, json.dumps({"key": key, "version": version, "files": self._files(place), "schema": schema}).encode())
+        self._trim(place)
+        return self.load(key, version)
+
+    def _trim(self, keep: str) -> None:
+        held = []
+        for d in self._fs.listStatus(self._path(self.folder)):
+            mark = self._path(d.getPath().toString() + ".json")
+            if d.isDirectory() and self._fs.exists(mark):
+                held.append((self._fs.getFileStatus(mark).getModificationTime(), sum(self._files(d.getPath().toString()).values()), d.getPath()))
+        total = sum(n for _, n, _ in held)
+        for _, n, p in sorted(held, key=lambda x: x[0]):
+            if total > self.most and p.getName() != keep.rsplit("/", 1)[1]:
+                self._fs.delete(self._path(p.toString() + ".json"), False)
+                self._fs.delete(p, True)
+                total -= n
+
+    def get(self, key: str, version: str, compute: Callable[[], DataFrame]) -> DataFrame:
+        """The table kept under the key, or computed and kept."""
+        have = self.load(key, version)
+        return self.seal(key, version, compute()) if have is None else have
 
 
 def resume(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that are not done yet."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def resume_at(reads: DataFrame, committed: DataFrame, source: str = "source", ordinal: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """(kept, to do): the records of each source up to the last committed one, and those after it. committed: (source, records).
+    Sources without a commit are to do from the start; a source with fewer records than were committed fails the job."""
+    c = committed.groupBy(F.col(source).alias("_cs")).agg(F.max("records").alias("_done"))
+    have = reads.groupBy(F.col(source).alias("_hs")).agg(F.max(ordinal).alias("_have"))
+    short = c.join(have, F.col("_cs") == F.col("_hs"), "left").select("_cs", F.when(F.col("_done") > F.coalesce("_have", F.lit(0)), F.raise_error(F.concat(F.lit("fewer records than committed: "), F.col("_cs"))).cast("bigint")).otherwise(F.col("_done")).alias("_done"))
+    j = reads.join(short, F.col(source) == F.col("_cs"), "left")
+    before = F.col(ordinal) <= F.coalesce("_done", F.lit(0))
+    return j.filter(before).select(*reads.columns), j.filter(~before).select(*reads.columns)
+
+
+def batches(df: DataFrame, size: int = 10_000) -> Iterator[list]:
+    """The rows in lists of `size`, for a consumer outside Spark; the driver holds a partition at a time."""
+    held: list = []
+    for row in df.toLocalIterator(prefetchPartitions=False):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def leases(claims: DataFrame, now: Column, seconds: int = 90) -> DataFrame:
+    """(task, owner, heartbeat_at, state): the latest claim of each task; held while its heartbeat is not older than
+    `seconds`, else expired. claims: (task, owner, heartbeat_at); claims without a heartbeat are expired."""
+    last = claims.groupBy("task").agg(F.max(F.struct("heartbeat_at", "owner")).alias("c"))
+    held = F.coalesce(F.col("c.heartbeat_at") >= now - F.make_dt_interval(secs=F.lit(seconds)), F.lit(False))
+    return last.select("task", "c.owner", "c.heartbeat_at", F.when(held, "held").otherwise("expired").alias("state"))

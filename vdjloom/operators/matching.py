@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vdjloom.operators.ranking import sequential_ids
+
 # Fixed values.
 TCR = ("TRA", "TRB", "TRD", "TRG")
 BCR = ("IGH", "IGK", "IGL")
@@ -120,3 +122,9 @@ def input_mode(flags: DataFrame, file: str, order: str, raw: str, first: int = 6
     head = flags.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= first)
     g = head.groupBy(file).agg(F.min(F.col(raw).cast("int")).alias("lo"), F.max(F.col(raw).cast("int")).alias("hi"))
     return g.select(file, F.when(F.col("lo") != F.col("hi"), "mixed").when(F.col("lo") == 1, "raw").otherwise("presplit").alias("mode"))
+
+
+def largest_first(tasks: DataFrame, size: str, key: list[str]) -> DataFrame:
+    """Tasks with task_order, the order in which they are to be started: the largest first, then by key. Null sizes come last.
+    Tasks of any number: see running()."""
+    return sequential_ids(tasks, [F.col(size).desc_nulls_last(), *(F.asc(k) for k in key)], 1, "task_order")

@@ -130,3 +130,20 @@ def duplicates_as_errors(rows: DataFrame, keys: list[str], order: list[str]) ->
 def status_counts(jobs: DataFrame, groups: list[str], statuses: list[str]) -> DataFrame:
     """Rows per group in total and by status."""
     return jobs.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"), *(F.sum((F.col("status") == s).cast("int")).cast("bigint").alias(s.lower()) for s in statuses))
+
+
+def processing_manifest(outputs: DataFrame) -> DataFrame:
+    """A row per input_root and relative_sample: sample, batch, available_receptors (joined by commas), tcr_path, bcr_path,
+    n_rows, state_total_rows, state_matched_rows, state_unmatched_rows, row_contract_valid, status and error.
+    outputs: (input_root, relative_sample, sample, batch, receptor, path, n_rows, state_total_rows, state_matched_rows, state_unmatched_rows,
+    umi_source, error), a row per sample and receptor. status: ERROR with any error, EMPTY without rows, else OK."""
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    path = lambda r: F.coalesce(F.min(F.when(F.col("receptor") == r, F.col("path"))), F.lit("")).alias(f"{r.lower()}_path")
+    g = outputs.groupBy("input_root", "relative_sample", "sample", "batch").agg(
+        F.array_join(F.array_sort(F.collect_set("receptor")), ",").alias("available_receptors"), path("TCR"), path("BCR"), F.min("umi_source").alias("umi_source"),
+        some("n_rows"), F.max("state_total_rows").alias("state_total_rows"), some("state_matched_rows"), some("state_unmatched_rows"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("error") != "", F.col("error")))), "; ").alias("error"),
+    )
+    status = F.when(F.col("error") != "", "ERROR").when(F.col("n_rows") == 0, "EMPTY").otherwise("OK")
+    valid = (F.col("umi_source") == "row_contract") & (F.col("error") == "")
+    return g.withColumn("row_contract_valid", F.when(valid, "1").otherwise("0")).withColumn("status", status)

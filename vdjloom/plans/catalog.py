@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vdjloom.plans import composition, problems, repertoire
+from vdjloom.plans import composition, files, problems, repertoire
 
-QUERIES = {**repertoire.QUERIES, **composition.QUERIES, **problems.QUERIES}
-ORACLE = {**repertoire.ORACLE, **composition.ORACLE, **problems.ORACLE}
+QUERIES = {**repertoire.QUERIES, **composition.QUERIES, **files.QUERIES, **problems.QUERIES}
+ORACLE = {**repertoire.ORACLE, **composition.ORACLE, **files.ORACLE, **problems.ORACLE}

@@ -30,7 +30,8 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
 
     columns: only these are read (null where the file has none of that name). Of columns
     with one name the last counts. on_ragged: pad gives short rows nulls; error fails on rows
-    whose number of fields differs. Missing required columns raise. A quote within quotes is doubled.
+    whose number of fields differs. Missing required columns raise. A quote within quotes is doubled;
+    an empty field is null, a pair of quotes an empty text.
     lines_in_fields: quoted fields may hold line ends (a file is then one task).
     """
     names, sep = header_of(spark, path, comment or "\0")
@@ -39,7 +40,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     unique = [n if n not in names[i + 1 :] else f"_dropped_{i}" for i, n in enumerate(names)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
-    r = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", lines_in_fields).option("mode", "FAILFAST" if on_ragged == "error" else "PERMISSIVE")
+    r = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").option("escape", '"').option("nullValue", "\0").option("multiLine", lines_in_fields).option("mode", "FAILFAST" if on_ragged == "error" else "PERMISSIVE")
     df = (r.option("comment", comment) if comment else r).csv(path)
     want = columns or [n for n in unique if not n.startswith("_dropped_")]
     return df.select(*(F.col(f"`{c}`") if c in unique else F.lit(None).cast("string").alias(c) for c in want))

@@ -49,8 +49,10 @@ def write_lines(df: DataFrame, path: str, head: list[str], sep: str = "\t", comp
     line = F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value")
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([*head, names])], names=["value"])
-        yield from batches
+        schema = pa.schema([("value", pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array([*head, names])], schema=schema)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(b.columns, schema=schema)
 
     df.select(line).mapInArrow(headed, "value string").write.mode("overwrite").option("compression", compression).text(path)
 
