@@ -358,14 +358,14 @@ def metrics_scan(s: S, d: str) -> DataFrame:
     return rounded(discovery.published_metrics(airr.read_table(s, written(wide)), ["O", "F"]).filter("value is not null"))
 
 
-@query("with j as (select distinct id, pipeline, status, last_error from jobs where id is not null and upper(status) = 'ERROR' or (id is not null and contains(lower(concat_ws(' ', coalesce(id, ''), coalesce(pipeline, ''), coalesce(status, ''), coalesce(last_error, ''))), 'fail'))) select id, pipeline, status from j order by id, pipeline limit 20 offset 20")
+@query("with j as (select distinct id, pipeline, status, last_error from jobs where id is not null and upper(status) = 'ERROR' or (id is not null and contains(lower(concat_ws(' ', coalesce(id, ''), coalesce(pipeline, ''), coalesce(status, ''), coalesce(last_error, ''))), 'fail'))) select id, pipeline, status from j order by id limit 5 offset 5")
 def summary_preview(s: S, d: str) -> DataFrame:
     """The second page of a summary that is searched"""
     j = table(s, d, "jobs").filter("id is not null").select("id", "pipeline", "status", "last_error").distinct()
     files = s.createDataFrame([(f"{d}/jobs.parquet", 1, 1)], "path string, size bigint, modified bigint")
     version = evidence.version_of(files, "fail")
-    _, cursor = evidence.preview(j, "id", version, size=20, query="fail")
-    rows, _ = evidence.preview(j, "id", version, cursor, size=20, query="fail")
+    _, cursor = evidence.preview(j, "id", version, size=5, query="fail")
+    rows = evidence.preview(j, "id", version, cursor, size=5, query="fail")[0] if cursor else []
     return s.createDataFrame([(r["id"], r["pipeline"], r["status"]) for r in rows], "id string, pipeline string, status string")
 
 
