@@ -58,123 +58,214 @@ def switch_pairs(df: DataFrame, frame: list[str], weight: str = "umi_counts") ->
 # The scores of the global alignment, doubled so that they are whole numbers
 # (match 2, mismatch -1, opening a gap -2, extending it -0.5).
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 4, -2, -4, -1
-BATCH_CELLS = 3_000_000  # cells of the tables that are filled at once
-
-
-def _tables(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Best scores S[state, i, pair, j] of all prefixes of all pairs, row by row for the whole batch. States: 0 a pair of
-    characters, 1 a germline character alone (gap in the sequence), 2 a sequence character alone."""
-    n, m, k = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs), len(pairs)
-    a, b = np.zeros((n, k), np.uint32), np.ones((k, m), np.uint32)  # the padding never matches
-    for x, (s, g) in enumerate(pairs):
-        a[: len(s), x] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-        b[x, : len(g)] = np.frombuffer(g.encode("utf-32-le"), np.uint32)
-    low = np.int32(-(10**8))
-    S = np.full((3, n + 1, k, m + 1), low, np.int32)
-    S[0, 0, :, 0] = 0
-    S[1, 0, :, 1:] = GAP_OPEN + GAP_EXTEND * np.arange(m, dtype=np.int32)
-    steps = np.arange(1, m + 1, dtype=np.int32) * GAP_EXTEND
-    for i in range(1, n + 1):
-        P, Q, R = S[0, i - 1], S[1, i - 1], S[2, i - 1]
-        PQ = np.maximum(P, Q)
-        S[0, i, :, 1:] = np.maximum(PQ, R)[:, :-1] + np.where(a[i - 1][:, None] == b, np.int32(MATCH), np.int32(MISMATCH))
-        S[2, i] = np.maximum(PQ + GAP_OPEN, R + GAP_EXTEND)
-        # gaps along the row: the best opening so far, by a running maximum
-        opening = np.maximum(S[0, i, :, :-1], S[2, i, :, :-1]) + GAP_OPEN - steps
-        S[1, i, :, 1:] = np.maximum.accumulate(opening, axis=1) + steps
-    return S
-
-
-def _trace(S: np.ndarray, seq: str, germline: str) -> tuple[int, int, int, int, float]:
-    i, j, mm, ins, dele, both = len(seq), len(germline), 0, 0, 0, 0
-    P, Q, R = S
-    best = lambda: max((P[i, j], 0), (Q[i, j], -1), (R[i, j], -2))[1]
-    state = -best()
-    while i or j:
-        x, y = (seq[i - 1] if state != 1 else "-"), (germline[j - 1] if state != 2 else "-")
-        if x == "-":
-            dele += y != "-"
-        elif y == "-":
-            ins += 1
-        else:
-            both += 1
-            mm += x != y
-        here = S[state, i, j]
-        if state == 0:
-            i, j = i - 1, j - 1
-            state = -best()
-        elif state == 1:
-            j -= 1
-            state = 0 if P[i, j] + GAP_OPEN == here else 2 if R[i, j] + GAP_OPEN == here else 1
-        else:
-            i -= 1
-            state = 0 if P[i, j] + GAP_OPEN == here else 1 if Q[i, j] + GAP_OPEN == here else 2
-    total, base = mm + ins + dele, both + ins + dele
-    return mm, ins, dele, total, (total / base if base else 0.0)
-
-
-def align_all(pairs: list[tuple[str, str]]) -> list[tuple[int, int, int, int, float]]:
+BATCH_CELLS = 24_000_000  # cells of the tables that are filled at once
+BATCH_PAIRS = 4096
+KNOWN_PAIRS = 100_000  # results that a task keeps for pairs it meets again
+_GAP = ord("-")
+Result = tuple[int, int, int, int, float]
+
+
+class _Batch:
+    """The tables of several pairs at once: best scores S[state, i, t, pair] of all prefixes, in rows of the sequence. States: 0 a pair
+    of characters, 1 a germline character alone (gap in the sequence), 2 a sequence character alone. A row holds
+    every germline position (t = j), or, in a band, those next to the diagonal (t = j - i + band)."""
+
+    def __init__(self, pairs: list[tuple[str, str]], band: int = 0):
+        self.n, self.m = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+        k, rows, cols = len(pairs), int(self.n.max()), int(self.m.max())
+        self.a, self.b = np.zeros((rows, k), np.uint32), np.ones((cols, k), np.uint32)  # the padding never matches
+        for x, (s, g) in enumerate(pairs):
+            self.a[: len(s), x] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+            self.b[: len(g), x] = np.frombuffer(g.encode("utf-32-le"), np.uint32)
+        self.band, self.width = band, 2 * band + 1 if band else cols + 1
+        self.near = np.pad(self.b, ((band, band + max(0, rows - cols) + 1), (0, 0)), constant_values=1) if band else self.b
+        short = 2 * (rows + cols) * MATCH < 30_000  # no score of such pairs leaves 16 bits
+        self.kind = np.dtype(np.int16 if short else np.int32)
+        self.low = self.kind.type(-16_000 if short else -(10**9))
+        self.steps = (np.arange(1, self.width) * GAP_EXTEND).astype(self.kind)[:, None]
+
+    def first(self) -> np.ndarray:
+        row = np.full((3, self.width, len(self.n)), self.low, self.kind)
+        at = self.band
+        row[0, at] = 0
+        row[1, at + 1 :] = (GAP_OPEN + GAP_EXTEND * np.arange(self.width - at - 1))[:, None]
+        return row
+
+    def fill(self, row: np.ndarray, lo: int, hi: int, keep: bool = True) -> np.ndarray:
+        """Rows lo to hi from row lo: all of them, or only the last."""
+        hit, miss, open_, extend = map(self.kind.type, (MATCH - MISMATCH, MISMATCH, GAP_OPEN, GAP_EXTEND))
+        S = np.full((3, hi - lo + 1 if keep else 2, *row.shape[1:]), self.low, self.kind)
+        S[:, 0] = row
+        for i in range(lo + 1, hi + 1):
+            row, new = (S[:, i - lo - 1], S[:, i - lo]) if keep else (S[:, (i - lo - 1) % 2], S[:, (i - lo) % 2])
+            both = np.maximum(row[0], row[1])
+            any_ = np.maximum(both, row[2])
+            both += open_
+            gap = np.maximum(both, row[2] + extend)
+            germline = self.near[i - 1 : i - 1 + self.width] if self.band else self.b
+            score = np.multiply(germline == self.a[i - 1], hit, dtype=self.kind)
+            score += miss
+            if self.band:
+                np.add(any_, score, out=new[0])
+                new[2, :-1], new[2, -1] = gap[1:], self.low
+            else:
+                new[0, 0] = self.low
+                np.add(any_[:-1], score, out=new[0, 1:])
+                new[2] = gap
+            # gaps along the row: the best opening so far, by a running maximum
+            opening = np.maximum(new[0, :-1], new[2, :-1])
+            opening += open_
+            opening -= self.steps
+            np.maximum.accumulate(opening, axis=0, out=opening)
+            np.add(opening, self.steps, out=new[1, 1:])
+            new[1, 0] = self.low
+        return S if keep else S[:, (hi - lo) % 2].copy()
+
+    def start(self, S: np.ndarray, lo: int) -> None:
+        """Begins the way back at each pair's end."""
+        k = len(self.n)
+        self.i, self.j = self.n.copy(), self.m.copy()
+        self.counts = np.zeros((4, k), np.int64)  # mismatches, insertions, deletions, columns with two characters
+        self.state = np.argmax(S[:, self.i - lo, self._t(self.i, self.j), np.arange(k)], axis=0)
+
+    def _t(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return j - i + self.band if self.band else j
+
+    def back(self, S: np.ndarray, lo: int) -> None:
+        """The way back of all pairs through the rows from lo on, a step of each at a time. Among equally good steps
+        a pair of characters comes first, then a gap in the sequence, then one in the germline."""
+        x = np.flatnonzero((self.i > lo) | ((lo == 0) & (self.j > 0)))
+        while len(x):
+            i, j, state = self.i[x], self.j[x], self.state[x]
+            here = S[state, i - lo, self._t(i, j), x]
+            s = np.where(state == 1, _GAP, self.a[i - 1, x])
+            g = np.where(state == 2, _GAP, self.b[j - 1, x])
+            s_gap, g_gap = s == _GAP, g == _GAP
+            both = ~(s_gap | g_gap)
+            self.counts[:, x] += np.stack([both & (s != g), g_gap & ~s_gap, s_gap & ~g_gap, both])
+            i, j = i - (state != 1), j - (state != 2)
+            P, Q, R = S[:, i - lo, self._t(i, j), x]
+            paired = np.where(P >= np.maximum(Q, R), 0, np.where(Q >= R, 1, 2))
+            if (state == 0).all():
+                self.state[x] = paired
+            else:
+                gapped = np.where(P + GAP_OPEN == here, 0, np.where((state == 1) & (R + GAP_OPEN == here), 2, np.where((state == 2) & (Q + GAP_OPEN == here), 1, state)))
+                self.state[x] = np.where(state == 0, paired, gapped)
+            self.i[x], self.j[x] = i, j
+            x = x[(i > lo) | ((lo == 0) & (j > 0))]
+
+    def results(self) -> list[Result]:
+        out = []
+        for mm, ins, dele, both in self.counts.T.tolist():
+            total, base = mm + ins + dele, both + ins + dele
+            out.append((mm, ins, dele, total, total / base if base else 0.0))
+        return out
+
+
+def _align_batch(pairs: list[tuple[str, str]], band: int) -> list[Result]:
+    """Pairs whose tables fit in BATCH_CELLS, or one larger pair, of which every so many rows are kept and the rows between
+    filled once more on the way back."""
+    t = _Batch(pairs, band)
+    rows = int(t.n.max())
+    row = 3 * len(pairs) * t.width
+    if row * (rows + 1) <= BATCH_CELLS:
+        S = t.fill(t.first(), 0, rows)
+        t.start(S, 0)
+        t.back(S, 0)
+        return t.results()
+    step = max(1, int(rows**0.5))
+    kept = [t.first()]
+    for lo in range(0, rows - 1, step):
+        if lo + step < rows:
+            kept.append(t.fill(kept[-1], lo, lo + step, keep=False))
+    for k in range(len(kept) - 1, -1, -1):
+        lo = k * step
+        S = t.fill(kept.pop(), lo, min(rows, lo + step))
+        if lo + step >= rows:
+            t.start(S, lo)
+        t.back(S, lo)
+    return t.results()
+
+
+def align_all(pairs: list[tuple[str, str]]) -> list[Result]:
     """(mismatches, insertions, deletions, total, ratio) of each pair's best global alignment with affine gaps.
 
     Among equally good alignments the traceback prefers, from the end, a pair of characters, then a
     gap in the sequence, then one in the germline. '-' is a character of the input like any other;
     it is classified after aligning: '-' against a base is a deletion, a base against '-' an insertion, '-'
-    against '-' nothing. Equal texts, and texts of one length with one difference, have no better
-    alignment than character by character. The others fill their tables together, in batches of like length.
+    against '-' nothing.
+
+    Texts of one length n with d differences score 2n - 3d character by character (in points of a match being 2). An
+    alignment that leaves the diagonal by g has g gaps on each side and scores 2n - 3g - 3 at most. So with d of 1
+    nothing is better than character by character, and with more every best alignment stays within d of the
+    diagonal: only that band is filled. Pairs of like length are filled together. A pair of any length takes memory in
+    proportion to its length times the square root of it.
     """
     out: list = [None] * len(pairs)
     todo = []
     for k, (s, g) in enumerate(pairs):
-        if len(s) == len(g) and sum(map(str.__ne__, s, g)) <= 1:
+        d = sum(map(str.__ne__, s, g)) if len(s) == len(g) else -1
+        if 0 <= d <= 1:
             kept = [(x, y) for x, y in zip(s, g) if x != "-" or y != "-"]
             dele, ins = sum(x == "-" for x, _ in kept), sum(y == "-" for _, y in kept)
             mm = sum(x != y for x, y in kept) - dele - ins
             out[k] = (mm, ins, dele, mm + ins + dele, (mm + ins + dele) / len(kept) if kept else 0.0)
         else:
-            todo.append(k)
-    todo.sort(key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+            band = d if 0 < 2 * d < len(g) else 0
+            todo.append((band, len(s), len(g), k))
+    todo.sort()
     while todo:
-        size = max(1, BATCH_CELLS // (3 * (len(pairs[todo[-1]][0]) + 1) * (max(len(pairs[k][1]) for k in todo[-512:]) + 1)))
-        now, todo = todo[-min(size, 512) :], todo[: -min(size, 512)]
-        S = _tables([pairs[k] for k in now])
-        for x, k in enumerate(now):
-            out[k] = _trace(S[:, :, x, :], *pairs[k])
+        band, now = todo[-1][0], []
+        n = m = 0
+        while todo and len(now) < BATCH_PAIRS:
+            b, x, y, k = todo[-1]
+            if (b == 0) != (band == 0):
+                break
+            n, m = max(n, x), max(m, y)
+            if now and 3 * (n + 1) * (2 * band + 1 if band else m + 1) * (len(now) + 1) > BATCH_CELLS:
+                break
+            now.append(k)
+            todo.pop()
+        for k, r in zip(now, _align_batch([pairs[k] for k in now], band)):
+            out[k] = r
     return out
 
 
-def align(seq: str, germline: str) -> tuple[int, int, int, int, float]:
+def align(seq: str, germline: str) -> Result:
     return align_all([(seq, germline)])[0]
 
 
-_SHM = "mismatch int, insertion int, deletion int, shm int, ratio double"
+_SHM = "struct<shm: int, ratio: double>"
 
 
-def align_pairs(pairs: DataFrame) -> DataFrame:
-    """(seq, germline, mismatch, insertion, deletion, shm, ratio): each distinct pair of strings
-    aligned once, in Arrow batches. Rows with a null string are left out."""
+def aligned(*texts: tuple[Column, Column]) -> Column:
+    """A struct s0, s1, ... of (shm, ratio), one for each pair (sequence, germline) of columns; null where either is null. Rows are aligned where they
+    are, in Arrow batches; a pair that a task meets again is not aligned again."""
+    kind = "struct<" + ", ".join(f"s{i}: {_SHM}" for i in range(len(texts))) + ">"
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = align_all(list(zip(p["seq"], p["germline"])))
-            r = pd.DataFrame(out, columns=["mismatch", "insertion", "deletion", "shm", "ratio"])
-            yield pd.concat([p.reset_index(drop=True), r], axis=1)
+    def work(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], dict] = {}
+        for cols in parts:
+            keys = [[None if a is None or b is None else (a, b) for a, b in zip(cols[2 * i], cols[2 * i + 1])] for i in range(len(cols) // 2)]
+            if len(known) > KNOWN_PAIRS:
+                known.clear()
+            new = list({k for ks in keys for k in ks if k is not None and k not in known})
+            known.update(zip(new, ({"shm": r[3], "ratio": r[4]} for r in align_all(new))))
+            yield pd.DataFrame({f"s{i}": [None if k is None else known[k] for k in ks] for i, ks in enumerate(keys)})
 
-    distinct = pairs.select("seq", "germline").filter("seq is not null and germline is not null").distinct()
-    return distinct.mapInPandas(work, f"seq string, germline string, {_SHM}")
+    work.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(work, kind)(*(c for p in texts for c in p))
 
 
 def with_shm(df: DataFrame) -> DataFrame:
     """A08's input: df with v_shm, v_shm_ratio, tt_shm, tt_shm_ratio, for IGH, IGK and IGL rows with
-    numeric V coordinates (others get nulls). The V span is cut from both alignment strings."""
+    numeric V coordinates (others get nulls). The V span is cut from both alignment strings. Nothing is moved."""
     ok = F.col("locus").isin("IGH", "IGK", "IGL") & F.col("v_alignment_start").isNotNull() & F.col("v_alignment_end").isNotNull()
     span = lambda c: F.when(ok, F.col(c).substr(F.col("v_alignment_start"), F.greatest(F.lit(0), F.col("v_alignment_end") - F.col("v_alignment_start") + 1)))
-    rows = df.withColumn("_vs", span("sequence_alignment")).withColumn("_vg", span("germline_alignment")).withColumn("_ts", F.when(ok, F.col("sequence_alignment"))).withColumn("_tg", F.when(ok, F.col("germline_alignment")))
-    pairs = rows.select(F.explode(F.array(F.struct(F.col("_vs").alias("seq"), F.col("_vg").alias("germline")), F.struct(F.col("_ts").alias("seq"), F.col("_tg").alias("germline")))).alias("p")).select("p.*")
-    done = align_pairs(pairs)
-    for side, s, g in (("v", "_vs", "_vg"), ("tt", "_ts", "_tg")):
-        d = done.select(F.col("seq").alias("_a"), F.col("germline").alias("_b"), F.col("shm").alias(f"{side}_shm"), F.col("ratio").alias(f"{side}_shm_ratio"))
-        rows = rows.join(d, (F.col(s) == F.col("_a")) & (F.col(g) == F.col("_b")), "left").drop("_a", "_b")
-    return rows.drop("_vs", "_vg", "_ts", "_tg")
+    whole = lambda c: F.when(ok, F.col(c))
+    r = df.withColumn("__shm", aligned((span("sequence_alignment"), span("germline_alignment")), (whole("sequence_alignment"), whole("germline_alignment"))))
+    get = lambda p: F.col(f"__shm.{p}")
+    return r.select(*(F.col(f"`{c}`") for c in df.columns), get("s0.shm").alias("v_shm"), get("s0.ratio").alias("v_shm_ratio"), get("s1.shm").alias("tt_shm"), get("s1.ratio").alias("tt_shm_ratio"))
 
 
 def _weighted(x: str, w: str) -> Column:

@@ -64,20 +64,20 @@ def raw_lineage(reads: DataFrame, queries: DataFrame, annotations: DataFrame, ma
     """Each raw read of the mate with the reason why it did or did not end in a kept row.
 
     reads: (stage, canonical), stages raw_R1 ... clean_R2; queries: (canonical, sequence_id);
-    annotations: (sequence_id, filter_reason). All counts are one pivoted aggregate per id.
-    A stage is recorded when the reads have any row of it (a scalar per stage).
+    annotations: (sequence_id, filter_reason). All counts of an id are one aggregate, which stands for its raw reads, too:
+    an id is one row until the end. A stage is recorded when the reads have any row of it (one row, within the plan).
     """
     other = "R2" if mate == "R1" else "R1"
     names = {"raw": f"raw_{mate}", "raw_other": f"raw_{other}", "fastp": f"fastp_{mate}", "fastp_other": f"fastp_{other}", "clean": f"clean_{mate}", "clean_other": f"clean_{other}"}
-    per = reads.groupBy(F.col("canonical").alias("_c")).agg(*(F.sum(F.when(F.col("stage") == s, 1).otherwise(0)).alias(k) for k, s in names.items()))
-    known = reads.agg(*(F.max(F.when(F.col("stage") == names[s], True).otherwise(False)).alias(s) for s in ("fastp", "fastp_other", "clean", "clean_other"))).first()
+    per = reads.groupBy("canonical").agg(*(F.sum(F.when(F.col("stage") == s, 1).otherwise(0)).alias(k) for k, s in names.items()))
+    stages = ("fastp", "fastp_other", "clean", "clean_other")
+    known = reads.agg(F.struct(*(F.coalesce(F.max(F.col("stage") == names[s]), F.lit(False)).alias(s) for s in stages))).scalar()
     q = queries.groupBy(F.col("canonical").alias("_qc")).agg(F.count(F.lit(1)).alias("_q"), F.min("sequence_id").alias("_sid"))
     a = annotations.groupBy(F.col("sequence_id").alias("_as")).agg(F.count(F.lit(1)).alias("_a"), F.min("filter_reason").alias("_reason"))
-    one = reads.filter(F.col("stage") == names["raw"]).select("canonical")
-    j = one.join(per, F.col("canonical") == F.col("_c")).join(q, F.col("canonical") == F.col("_qc"), "left").join(a, F.col("_sid") == F.col("_as"), "left")
+    j = per.filter("raw > 0").withColumn("_known", known).join(q, F.col("canonical") == F.col("_qc"), "left").join(a, F.col("_sid") == F.col("_as"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    r = raw_reason({k: F.col(k) for k in names}, {s: F.lit(bool(known[s])) for s in ("fastp", "fastp_other", "clean", "clean_other")}, zero("_q"), zero("_a"), F.col("_reason"))
-    return j.select("canonical", r.alias("filter_reason"))
+    r = raw_reason({k: F.col(k) for k in names}, {s: F.col(f"_known.{s}") for s in stages}, zero("_q"), zero("_a"), F.col("_reason"))
+    return j.select("canonical", r.alias("filter_reason"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("raw"))).alias("_time")).drop("_time")
 
 
 def matching_totals(obs: DataFrame) -> DataFrame:

@@ -99,11 +99,11 @@ def gene_usage_metrics(s: S, d: str) -> DataFrame:
     return usage.all_usage(*_unique(s, d)).groupBy("metric", "segment", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("unique_count").alias("unique_count"))
 
 
-@query(_USAGE + """, k as (select * from usage where segment <> 'C' and gene not like '%1') select group_id, primer, segment, gene, unique_count, cast(sum(unique_count) over p as bigint) as denominator,
+@query(_USAGE + """, k as (select * from usage where reference_catalog = 1) select group_id, primer, segment, gene, unique_count, cast(sum(unique_count) over p as bigint) as denominator,
   case when sum(unique_count) over p > 0 then round(cast(100 as double) * unique_count / sum(unique_count) over p, 6) end as percent from k window p as (partition by group_id, primer, segment)""")
 def gene_usage_rebased(s: S, d: str) -> DataFrame:
-    """A21"""
-    e = _usage(s, d)[2].filter("segment <> 'C' and gene not like '%1'").withColumn("metric", F.lit("expression")).withColumn("aa_field", F.lit(""))
+    """Percentages again over the genes of the reference"""
+    e = _usage(s, d)[2].filter("reference_catalog = 1").withColumn("metric", F.lit("expression")).withColumn("aa_field", F.lit(""))
     return rounded(usage.rebase(e).select("group_id", "primer", "segment", "gene", "unique_count", "denominator", "percent"))
 
 
@@ -331,20 +331,21 @@ def lineage_reasons(s: S, d: str) -> DataFrame:
 _STAGES = ("raw_R1", "raw_R2", "fastp_R1", "fastp_R2", "clean_R1", "clean_R2")
 
 
-@query("""with o as (select distinct id, sequence_id from observations where sequence_id is not null), reads as (
-  select 'raw_R1' as stage, sequence_id as c from o union all select 'raw_R2', sequence_id from o where id % 19 <> 0 union all select 'fastp_R1', sequence_id from o where id % 7 <> 0 union all select 'fastp_R2', sequence_id from o where id % 7 <> 0 and id % 23 <> 0
-  union all select 'clean_R1', sequence_id from o where id % 7 <> 0 and id % 11 <> 0 union all select 'clean_R2', sequence_id from o where id % 7 <> 0 and id % 11 <> 0),
+@query("""with o as (select distinct id, sequence_id as c, mapping_sequence_id, sample, primers, j_call, sequence, v_call, pair from observations where sequence_id is not null), reads as (
+  select 'raw_R1' as stage, c from o union all select 'raw_R2', c from o where pair is not null union all select 'fastp_R1', c from o where sequence <> '' union all select 'fastp_R2', c from o where sequence <> '' and v_call is not null
+  union all select 'clean_R1', c from o where sequence <> '' and j_call is not null union all select 'clean_R2', c from o where sequence <> '' and j_call is not null and v_call is not null),
   n as (select c, """ + ", ".join(f"count(*) filter (where stage = '{x}') as {x.lower()}" for x in _STAGES) + """ from reads group by 1),
-  q as (select sequence_id as c, count(*) as q from o where id % 5 <> 0 group by 1), a as (select sequence_id as c, count(*) as a, min(filter_reason) as f from (select distinct ordinal, sequence_id, filter_reason from annotations) group by 1)
+  q as (select c, count(*) as q, min(mapping_sequence_id) as sid from o where mapping_sequence_id is not null group by 1), a as (select sequence_id as sid, count(*) as a, min(filter_reason) as f from (select distinct ordinal, sequence_id, filter_reason from annotations) group by 1)
   select o.c as canonical, case when raw_r1 <> 1 or greatest(raw_r1, raw_r2, fastp_r1, fastp_r2, clean_r1, clean_r2) > 1 or coalesce(q, 0) > 1 then 'ambiguous_lineage' when raw_r2 <> 1 then 'pair_identity_unverified' when fastp_r1 <> fastp_r2 then 'pair_identity_unverified' when clean_r1 <> clean_r2 then 'pair_identity_unverified'
   when fastp_r1 = 0 then 'not_seen_after_fastp' when clean_r1 = 0 then 'clean_membership_unavailable' when q is null then 'not_merged' when a is null then 'missing_airr_row' when a > 1 then 'duplicate_airr_rows' else f end as filter_reason
-  from (select sequence_id as c from o) o join n using (c) left join q using (c) left join a using (c)""")
+  from o join n using (c) left join q using (c) left join a using (sid)""")
 def raw_lineage_ladder(s: S, d: str) -> DataFrame:
-    """F35, J07"""
-    o = table(s, d, "observations").select("id", "sequence_id").filter("sequence_id is not null").distinct()
-    rule = {"raw_R1": "true", "raw_R2": "id % 19 <> 0", "fastp_R1": "id % 7 <> 0", "fastp_R2": "id % 7 <> 0 and id % 23 <> 0", "clean_R1": "id % 7 <> 0 and id % 11 <> 0", "clean_R2": "id % 7 <> 0 and id % 11 <> 0"}
-    reads = o.select(F.col("sequence_id").alias("canonical"), F.explode(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in rule.items()))).alias("stage")).filter("stage is not null")
-    q = o.filter("id % 5 <> 0").select(F.col("sequence_id").alias("canonical"), "sequence_id")
+    """A read is gone from a stage where the table lacks what the stage would give it"""
+    o = table(s, d, "observations").select("id", "sequence_id", "mapping_sequence_id", "sample", "primers", "j_call", "sequence", "v_call", "pair").filter("sequence_id is not null").distinct()
+    trimmed, clean, mate = F.col("sequence") != "", F.col("j_call").isNotNull(), F.col("v_call").isNotNull()
+    rule = {"raw_R1": F.lit(True), "raw_R2": F.col("pair").isNotNull(), "fastp_R1": trimmed, "fastp_R2": trimmed & mate, "clean_R1": trimmed & clean, "clean_R2": trimmed & clean & mate}
+    reads = o.select(F.col("sequence_id").alias("canonical"), F.explode(F.array(*(F.when(c, F.lit(n)) for n, c in rule.items()))).alias("stage")).filter("stage is not null")
+    q = o.filter("mapping_sequence_id is not null").select(F.col("sequence_id").alias("canonical"), F.col("mapping_sequence_id").alias("sequence_id"))
     a = table(s, d, "annotations").select("ordinal", "sequence_id", "filter_reason").distinct()
     return lineage.raw_lineage(reads, q, a)
 
@@ -404,12 +405,14 @@ def observation_selection(s: S, d: str) -> DataFrame:
     return lineage.observation_filter(roles.observations(s, d, *_OBS_COLS), gene="IGHV5-190", reasons=["retained", "retained_history"]).select("id")
 
 
-@query("""with e as (select event_id, user_id, event_type from events), a as (select event_id as o, user_id as k from e where event_id % 7 <> 0), b as (select event_id as o, case when event_id % 13 = 0 then -1 else user_id end as k from e where event_id % 5 <> 0)
+@query("""with a as (select o_orderkey as o, o_custkey as k from orders where o_orderstatus <> 'P'), b as (select l_orderkey as o, case when max(l_returnflag) = 'R' then -1 else any_value(o_custkey) end as k from lineitem join orders on l_orderkey = o_orderkey group by 1 having min(l_linestatus) = 'F')
   select coalesce(a.o, b.o) as ordinal, a.k as r1_key, b.k as r2_key, case when a.o is null then 'missing_r1' when b.o is null then 'missing_r2' when a.k = b.k then 'paired' else 'key_mismatch' end as state from a full join b on a.o = b.o""")
 def pair_join_verified(s: S, d: str) -> DataFrame:
-    """J06, J16"""
-    e = table(s, d, "events").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("k"))
-    return umi.pair_reads(e.filter("ordinal % 7 <> 0"), e.filter("ordinal % 5 <> 0").withColumn("k", F.expr("case when ordinal % 13 = 0 then -1 else k end")), ["ordinal"], "k")
+    """The ends of a pair are an order that is not pending, and its delivered lines; lines sent back bear another key"""
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("k"), "o_orderstatus")
+    l = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_returnflag").alias("back"), F.min("l_linestatus").alias("sent")).filter("sent = 'F'")
+    r2 = l.join(o, F.col("l_orderkey") == F.col("ordinal")).select("ordinal", F.when(F.col("back") == "R", -1).otherwise(F.col("k")).alias("k"))
+    return umi.pair_reads(o.filter("o_orderstatus <> 'P'").select("ordinal", "k"), r2, ["ordinal"], "k")
 
 
 # --- stages ---------------------------------------------------------------------------------
@@ -657,12 +660,22 @@ def sequential_ids(s: S, d: str) -> DataFrame:
     return ranking.sequential_ids(r, [F.desc("weight"), F.asc("id")], 100)
 
 
+@query("""select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, row_number() over w as rank, cast(sum(cast(l_quantity as bigint)) over (w rows unbounded preceding) as bigint) as running, cast(sum(cast(l_quantity as bigint)) over (partition by l_returnflag) as bigint) as whole
+  from lineitem window w as (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber)""")
+def line_ranks(s: S, d: str) -> DataFrame:
+    """Ranks and running sums within three large groups, with columns that take no part"""
+    l = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    l = l.withColumn("q", F.col("l_quantity").cast("bigint"))
+    return ranking.running(l, ["l_returnflag"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], "q", whole="whole").drop("q")
+
+
 @query("""with g as (select sample_key, match_class, count(*) as n from observations where sample_key is not null group by 1, 2) select sample_key, match_class, n from g""")
 def counter_upserts(s: S, d: str) -> DataFrame:
-    """X06"""
+    """The counts of the last month added to the older ones"""
     o = table(s, d, "observations").filter("sample_key is not null")
-    part = lambda k: o.filter(f"id % 2 = {k}").groupBy("sample_key", "match_class").agg(F.count(F.lit(1)).alias("n"))
-    return ranking.add_counts(part(0), part(1), ["sample_key", "match_class"])
+    late = F.col("loaded_at") >= o.agg(F.max("loaded_at") - F.expr("interval 30 day")).scalar()
+    part = lambda c: o.filter(c).groupBy("sample_key", "match_class").agg(F.count(F.lit(1)).alias("n"))
+    return ranking.add_counts(part(~F.coalesce(late, F.lit(False))), part(late), ["sample_key", "match_class"])
 
 
 @query("with o as (select distinct sequence from observations) select sequence, coalesce(regexp_matches(upper(sequence), '^[ACGT]+$'), false) as plain, coalesce(regexp_matches(upper(sequence), '^[ACGTRYSWKMBDHVNU]+$'), false) as iupac from o")

@@ -10,7 +10,7 @@ from vdjloom.functions import headers as H
 from vdjloom.operators import bcell, cells, clones, diversity, filters, ranking, umi
 from vdjloom.plans import roles
 from vdjloom.plans.durable import settle
-from vdjloom.plans.roles import AIRR_SQL, UMI_SQL
+from vdjloom.plans.roles import AIRR_SQL, HYPERMUTATED_SQL, UMI_SQL
 from vdjloom.sources import sinks
 from vdjloom.sources.tables import table
 
@@ -373,13 +373,15 @@ def compact_state(s: S, d: str) -> DataFrame:
     return ranking.best_per_key(roles.umi_reads(s, d), ["barcode", "umi"], order).select("barcode", "umi", "sequence", "header", "mean_quality")
 
 
-@query(f"""with {UMI_SQL}, old as (select distinct barcode, umi, 'old' as origin from reads where ordinal % 2 = 0), new as (select distinct barcode, umi, 'new' as origin from reads where ordinal % 5 = 0)
+@query(f"""with {UMI_SQL}, arrived as (select event_id as ordinal, ts >= (select max(ts) - interval 2 day from events) as late from events), old as (select distinct barcode, umi, 'old' as origin from reads join arrived using (ordinal) where not late), new as (select distinct barcode, umi, 'new' as origin from reads join arrived using (ordinal) where late)
   select * from new union all select * from old where not exists (select 1 from new where new.barcode = old.barcode and new.umi = old.umi)""")
 def merge_umi_rows(s: S, d: str) -> DataFrame:
-    """R06, X05"""
-    r = roles.umi_reads(s, d)
-    side = lambda k, n: r.filter(f"ordinal % {k} = 0").select("barcode", "umi", F.lit(n).alias("origin")).distinct()
-    return ranking.replace_rows(side(2, "old"), side(5, "new"), ["barcode", "umi"])
+    """The reads of the last two days replace the older rows of their UMIs"""
+    e = table(s, d, "events")
+    at = e.select(F.col("event_id").alias("ordinal"), (F.col("ts") >= e.agg(F.max("ts") - F.expr("interval 2 day")).scalar()).alias("late"))
+    r = roles.umi_reads(s, d).join(at, "ordinal")
+    side = lambda c, n: r.filter(c).select("barcode", "umi", F.lit(n).alias("origin")).distinct()
+    return ranking.replace_rows(side("not late", "old"), side("late", "new"), ["barcode", "umi"])
 
 
 @query("""with q as (select distinct sample_key as sample, sequence_id as id from observations where sequence_id is not null and sample_key is not null),
@@ -463,31 +465,41 @@ def mapping_header_roundtrip(s: S, d: str) -> DataFrame:
 
 
 def _shm(s: S, d: str) -> DataFrame:
-    a = roles.airr(s, d).filter("locus in ('IGH', 'IGK', 'IGL')").withColumn("sequence_alignment", F.upper(F.translate("cdr3_aa", "ELO", "ACG"))).withColumn("germline_alignment", F.upper(F.translate(F.split("sequence", "-")[0], "elo ", "ACG-")))
-    return bcell.with_shm(a.withColumn("v_alignment_start", F.lit(1)).withColumn("v_alignment_end", F.lit(6)))
+    return bcell.with_shm(roles.hypermutated(s, d))
 
 
-@query()
+@query(f"with {HYPERMUTATED_SQL} select id, v as v_shm, round(vr, 6) as v_shm_ratio, t as tt_shm, round(tr, 6) as tt_shm_ratio from shm")
 def shm_alignment(s: S, d: str) -> DataFrame:
-    """U02"""
-    return rounded(_shm(s, d).select("sequence_alignment", "germline_alignment", "v_shm", "v_shm_ratio", "tt_shm", "tt_shm_ratio").distinct())
+    """Alignments of real length whose changes are known"""
+    return rounded(_shm(s, d).select("id", "v_shm", "v_shm_ratio", "tt_shm", "tt_shm_ratio"))
 
 
-@query()
+_GENE = f"with {HYPERMUTATED_SQL}, g as (select *, {C.sql_unique_gene('c_call')} as gene from shm)"
+_SHARES = ", ".join(
+    f"round(cast(coalesce(sum(w) filter (where {n} {c} {op} 0), 0) as double) / sum(w) filter (where {n} true), 6) as {c_name}_{prefix}{state}"
+    for c, c_name in (("v", "v"), ("t", "tt")) for prefix, n in (("", ""), ("naive_", "naive and")) for state, op in (("mutated", "<>"), ("unmutated", "="))
+)
+
+
+@query(_GENE + f" select sample, {_SHARES} from (select *, coalesce(contains(gene, 'IGHD') or contains(gene, 'IGHM'), false) as naive from g where locus = 'IGH') group by 1")
 def shm_metrics(s: S, d: str) -> DataFrame:
     """A08"""
     return rounded(bcell.shm_shares(_shm(s, d), ["sample"]))
 
 
-@query()
+_MEANS = ", ".join(f"round(cast(sum(coalesce({c}, 0) * w) as double) / sum(w), 6) as {n}" for c, n in (("v", "v_shm"), ("vr", "v_shm_ratio"), ("t", "tt_shm"), ("tr", "tt_shm_ratio")))
+
+
+@query(f"with {HYPERMUTATED_SQL} select sample, locus, {_MEANS} from shm group by 1, 2")
 def shm_by_locus(s: S, d: str) -> DataFrame:
     """A09"""
     return rounded(bcell.shm_by_locus(_shm(s, d), ["sample"]))
 
 
-@query()
+@query(_GENE + f""", h as (select *, case when gene in ('IGHD', 'IGHM') then 'IgD/M' else 'Ig' || substr(gene, 4) end as isotype from g where locus = 'IGH' and contains(gene, 'IGH')),
+  p as (select sample, gene, isotype, avg(v * w) as v_shm, avg(vr * w) as v_shm_ratio, avg(t * w) as tt_shm, avg(tr * w) as tt_shm_ratio, count(*) as records, cast(sum(w) as bigint) as copies from h group by all),
+  m as (select sample, isotype, sum(v_shm_ratio * records) / sum(copies) * 100 as x from p group by 1, 2)
+  select sample, gene, isotype, round(v_shm, 6) as v_shm, round(v_shm_ratio, 6) as v_shm_ratio, round(tt_shm, 6) as tt_shm, round(tt_shm_ratio, 6) as tt_shm_ratio, records, copies, case when x between 0 and 100 then round(x, 6) end as mean_shm_percent from p left join m using (sample, isotype) where sample is not null""")
 def shm_by_isotype(s: S, d: str) -> DataFrame:
     """A10, A11"""
-    return rounded(bcell.shm_by_isotype(_shm(s, d), ["sample"]))
-
-
+    return rounded(bcell.shm_by_isotype(_shm(s, d).filter("sample is not null"), ["sample"]))

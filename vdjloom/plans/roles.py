@@ -58,6 +58,29 @@ UMI_SQL = r"""reads as (select user_id as barcode, regexp_extract(props, '([0-9]
 counts as (select barcode, umi, sequence, count(*) as n, avg(mean_quality) as mean_quality, avg(expected_errors) as expected_errors, min(header) as header, min(ordinal) as first_ordinal from reads group by 1, 2, 3)"""
 
 
+PLANTED = tuple(range(15, 136, 20))  # places of the planted substitutions
+
+
+def hypermutated(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of 160 to 290 columns from observations: the germline is the sequence, its reverse complement and the sequence again; the
+    read has substitutions at the first places of PLANTED (as many as its trim length tells), a gap of three for multiple
+    matches, and the germline one of two for unmatched ones. What is planted is the best alignment: the changes lie
+    too far apart for any other to pay. The V span is the first 60 columns; the copies are the trim length and one."""
+    o = table(spark, d, "observations").filter("sequence <> ''").select("id", "sample", F.col("chain").alias("locus"), "c_call", F.upper("sequence").alias("s"), "match_class", "trim_length").distinct()
+    base = F.concat("s", F.reverse(F.translate("s", "ACGT", "TGCA")), "s")
+    o = o.select("*", base.alias("germline_alignment"), (F.coalesce("trim_length", F.lit(0)) % (len(PLANTED) + 1)).alias("planted"), (F.coalesce("trim_length", F.lit(0)) + 1).cast("bigint").alias("umi_counts"))
+    changed = lambda text, p: F.overlay(text, F.translate(text.substr(p, F.lit(1)), "ACGTN", "CATGA"), p)
+    read = F.aggregate(F.slice(F.array(*(F.lit(p) for p in PLANTED)), F.lit(1), F.col("planted")), F.col("germline_alignment"), changed)
+    read = F.when(F.col("match_class") == "multiple", F.overlay(read, F.lit("---"), F.lit(25))).otherwise(read)
+    germline = F.when(F.col("match_class") == "unmatched", F.overlay(F.col("germline_alignment"), F.lit("--"), F.lit(45))).otherwise(F.col("germline_alignment"))
+    return o.select("id", "sample", "locus", "c_call", "umi_counts", read.alias("sequence_alignment"), germline.alias("germline_alignment"), F.lit(1).alias("v_alignment_start"), F.lit(60).alias("v_alignment_end"))
+
+
+HYPERMUTATED_SQL = f"""planted as (select distinct id, sample, chain as locus, c_call, upper(sequence) as s, match_class, trim_length from observations where sequence <> ''),
+shm as (select id, sample, locus, c_call, cast(coalesce(trim_length, 0) + 1 as bigint) as w, v, t, cast(v as double) / 60 as vr, cast(t as double) / l as tr from (select *, 3 * length(s) as l,
+  case when ig then least(k, {sum(p <= 60 for p in PLANTED)}) + gaps end as v, case when ig then k + gaps end as t from (select *, coalesce(locus in ('IGH', 'IGK', 'IGL'), false) as ig, coalesce(trim_length, 0) % {len(PLANTED) + 1} as k, case match_class when 'multiple' then 3 when 'unmatched' then 2 else 0 end as gaps from planted)))"""
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Composition records, each once; repeated deliveries are equal but for loaded_at."""
     cols = ["id", "group_id", "primer", "sample_record", "weight", "eligible", "aa_field", "aa_value", "aa_valid", "isotype_main", "isotype_state", "identity_key"]
