@@ -150,6 +150,73 @@ def test_alignment_is_optimal(a, b):
     assert np.isfinite(ratio)
 
 
+def plain_alignment(a, b):
+    """U02 cell by cell: three tables of Python numbers, doubled scores, the same preferences on the way back."""
+    low, n, m = -(10**9), len(a), len(b)
+    S = [[[low] * (m + 1) for _ in range(n + 1)] for _ in range(3)]
+    S[0][0][0] = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i and j:
+                S[0][i][j] = max(S[k][i - 1][j - 1] for k in range(3)) + (4 if a[i - 1] == b[j - 1] else -2)
+            if i:
+                S[2][i][j] = max(S[0][i - 1][j] - 4, S[1][i - 1][j] - 4, S[2][i - 1][j] - 1)
+            if j:
+                S[1][i][j] = max(S[0][i][j - 1] - 4, S[2][i][j - 1] - 4, S[1][i][j - 1] - 1)
+    i, j, columns = n, m, []
+    state = max(range(3), key=lambda k: (S[k][i][j], -k))
+    while i or j:
+        columns.append((a[i - 1] if state != 1 else "-", b[j - 1] if state != 2 else "-"))
+        here = S[state][i][j]
+        i, j = i - (state != 1), j - (state != 2)
+        if state == 0:
+            state = max(range(3), key=lambda k: (S[k][i][j], -k))
+        elif S[0][i][j] - 4 == here:
+            state = 0
+        elif S[3 - state][i][j] - 4 == here:
+            state = 3 - state
+    dele, ins = sum(x == "-" != y for x, y in columns), sum(y == "-" != x for x, y in columns)
+    both = [(x, y) for x, y in columns if x != "-" and y != "-"]
+    mm = sum(x != y for x, y in both)
+    return mm, ins, dele, mm + ins + dele, (mm + ins + dele) / (len(both) + ins + dele) if both or ins + dele else 0.0
+
+
+@pytest.mark.parametrize("cells", [24_000_000, 1500])
+def test_alignments_together_are_those_cell_by_cell(monkeypatch, cells):
+    """Pairs of one length in their bands, others in full, all in batches, and with rows filled twice where memory is short."""
+    import random
+
+    monkeypatch.setattr(bcell, "BATCH_CELLS", cells)
+    rng, pairs = random.Random(5), []
+    for _ in range(500):
+        a = [rng.choice("ACGT-N") for _ in range(rng.randrange(40))]
+        b = a[:]
+        for _ in range(rng.randrange(8)):
+            if b:
+                b[rng.randrange(len(b))] = rng.choice("ACGT-")
+        if rng.random() < 0.4:
+            for _ in range(rng.randrange(3)):
+                b.insert(rng.randrange(len(b) + 1), rng.choice("ACGT"))
+            del b[: rng.randrange(3)]
+        pairs.append(("".join(a), "".join(b if rng.random() < 0.9 else rng.choices("AC", k=len(a)))))
+    assert [x for x in zip(pairs, bcell.align_all(pairs)) if x[1] != plain_alignment(*x[0])] == []
+
+
+def test_long_pair_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(6)
+    a = "".join(rng.choice("ACGT") for _ in range(5000))
+    b = a[:2000] + a[2003:4000] + "T" + a[4000:]
+    tracemalloc.start()
+    got = bcell.align(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:3] == (0, 3, 1) or got[3] == 4
+    assert peak < 120e6  # three whole tables would be 300 MB
+
+
 def test_alignment_cases():
     assert bcell.align("ACGT", "ACGT") == (0, 0, 0, 0, 0.0)
     assert bcell.align("ACGT", "ACCT")[:3] == (1, 0, 0)
@@ -206,12 +273,12 @@ def test_secondary_support(spark):
 def test_primer_fixture(spark):
     p = [("p1", "ACR", "g")]
     df = spark.createDataFrame([(1, "ACGTT"), (2, "ACNTT"), (3, "TACG"), (4, ""), (5, None), (6, "ACA")], "id bigint, seq string")
-    got = {r["id"]: r for r in primers.categorise(df, "id", "seq", p).collect()}
+    got = {r["id"]: r for r in primers.categorise(df, "seq", p).collect()}
     assert [got[i]["match_class"] for i in range(1, 7)] == ["unique", "unmatched", "unmatched", "sequence_unavailable", "sequence_unavailable", "unique"]
     assert got[1]["trim_state"] == "trimmed_unique" and got[1]["trim_length"] == 3 and got[6]["trim_state"] == "primer_only_untrimmed"
-    two = primers.categorise(df, "id", "seq", [*p, ("p2", "ACGT", "g")]).filter("id = 1").first()
+    two = primers.categorise(df, "seq", [*p, ("p2", "ACGT", "g")]).filter("id = 1").first()
     assert (two["match_class"], two["trim_state"], two["names"]) == ("multiple", "ambiguous_length_untrimmed", ["p1", "p2"])
-    assert primers.categorise(df, "id", "seq", []).filter("id = 1").first()["match_class"] == "not_configured"
+    assert primers.categorise(df, "seq", []).filter("id = 1").first()["match_class"] == "not_configured"
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -226,6 +293,18 @@ def test_primers_against_patterns(spark, seqs, reads):
         assert got.get(i, []) == sorted(n for n, s, _ in p if re.match(primers.pattern(s), r))
 
 
+def test_primer_tables_are_bounded_and_move_no_read(spark):
+    many = [(f"p{i}", "N" * 12, "g") for i in range(300)]
+    df = spark.createDataFrame([(1, "ACGTACGTACGTA", "x"), (1, "ACGTACGTACGTA", "x"), (2, None, "y")], "id bigint, seq string, names2 string")
+    got = primers.with_match(df, "seq", many)
+    assert sorted((r["id"], len(r["names"])) for r in got.collect()) == [(1, 300), (1, 300), (2, 0)]
+    assert sum(len(primers.prefixes(s, primers.MAX_TABLE // len(many))[1]) for _, s, _ in many) <= primers.MAX_TABLE
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+    with pytest.raises(ValueError):
+        primers.with_match(df, "seq", [("p", "A", "g")] * (primers.MAX_TABLE + 1))
+
+
 def test_degenerate_primers_keep_a_prefix(spark):
     n, concrete = primers.prefixes("NNNNNNNNNN")
     assert n == 6 and len(concrete) == 4096
@@ -313,7 +392,7 @@ def test_metadata_matching(spark):
 def test_scenario_copies_and_usage(spark):
     reads = spark.createDataFrame([(1, "g", "r1", "TTA"), (2, "g", "r2", "TTA"), (3, "g", "r3", "TTC"), (4, "g", "r4", "GGG"), (5, "h", "r5", "TTA")], "k bigint, group_id string, read string, seq string")
     sus = spark.createDataFrame([("g", "B", "suspected"), ("h", "B", "below_threshold")], "group_id string, tested_group string, status string")
-    m = primers.scenarios(reads, "k", "seq", [("a", "GG", "A"), ("b1", "TTA", "B"), ("b2", "TTC", "B")], sus, ["group_id"])
+    m = primers.scenarios(reads, "seq", [("a", "GG", "A"), ("b1", "TTA", "B"), ("b2", "TTC", "B")], sus, ["group_id"])
     final = spark.createDataFrame([("g", "r1", "x"), ("g", "r2", "x"), ("g", "r3", "x"), ("g", "r4", "y"), ("g", "r9", "y"), ("h", "r5", "x")], "group_id string, read string, identity_key string")
     line = usage.scenario_lineage(m, final, ["read"])
     assert sorted((r["identity_key"], r["primer"], r["n"]) for r in line.collect()) == [("x", "b1", 2), ("x", "b2", 1), ("y", "", 2)]

@@ -73,7 +73,8 @@ class _Batch:
     def __init__(self, pairs: list[tuple[str, str]], band: int = 0):
         self.n, self.m = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
         k, rows, cols = len(pairs), int(self.n.max()), int(self.m.max())
-        self.a, self.b = np.zeros((rows, k), np.uint32), np.ones((cols, k), np.uint32)  # the padding never matches
+        self.a, self.b = np.zeros((max(1, rows), k), np.uint32), np.ones((max(1, cols), k), np.uint32)  # the padding never matches
+        cols = self.b.shape[0]
         for x, (s, g) in enumerate(pairs):
             self.a[: len(s), x] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
             self.b[: len(g), x] = np.frombuffer(g.encode("utf-32-le"), np.uint32)

@@ -2,9 +2,9 @@
 
 A primer is a sequence of IUPAC codes that must stand at the start of a read. Instead of
 testing every read against every primer's pattern (a nested-loop join), primers are written
-out into the concrete prefixes they accept, and reads meet them in equi-joins, one per
-primer length. Primers with too many prefixes keep their first codes as join key and test
-the whole pattern afterwards.
+out into the concrete prefixes they accept, with all primers of a prefix in one row. Reads look their start up
+in these tables, one per prefix length, where they are: each look-up finds one row at most, so reads are neither
+moved nor multiplied. Primers with too many prefixes keep their first codes as key and test the whole pattern afterwards.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ IUPAC = {
 ADAPTER = "ACACTCTTTCCCTACACGACGCTCTTCCGATCT"
 UMI_LENGTH, BARCODE_LENGTH = 10, 8
 MAX_PREFIXES = 4096  # concrete prefixes per primer
+MAX_TABLE = 200_000  # concrete prefixes of all primers together: what is broadcast
 RETAINED = ("retained", "retained_history", "imported_result")
 
 
@@ -33,11 +34,11 @@ def pattern(sequence: str) -> str:
     return "^" + "".join(f"[{IUPAC[b]}]" for b in sequence.upper())
 
 
-def prefixes(sequence: str) -> tuple[int, list[str]]:
-    """(length, concrete prefixes): of the whole primer, or of as many of its first codes as MAX_PREFIXES allows."""
+def prefixes(sequence: str, most: int = MAX_PREFIXES) -> tuple[int, list[str]]:
+    """(length, concrete prefixes): of the whole primer, or of as many of its first codes as `most` allows."""
     n, total = 0, 1
     for b in sequence.upper():
-        if total * len(IUPAC[b]) > MAX_PREFIXES:
+        if total * len(IUPAC[b]) > most:
             break
         total *= len(IUPAC[b])
         n += 1
@@ -126,32 +127,42 @@ def window_of(seq: Column, oligo: bool, adapter: str = ADAPTER) -> Column:
     return F.when(F.startswith(F.upper(seq), F.lit(adapter)) & (F.length(seq) > cut), F.upper(seq).substr(F.lit(cut + 1), F.length(seq)))
 
 
-def match(reads: DataFrame, key: str, window: str, primers: list[tuple[str, str, str]]) -> DataFrame:
-    """(key, names, families): the distinct names, sorted, of the primers each read starts with, and
-    the matched sequences. Reads without a match are not in the result.
+def with_match(reads: DataFrame, window: str, primers: list[tuple[str, str, str]]) -> DataFrame:
+    """Reads with names and families, the distinct names and sequences, sorted, of the primers that the window starts with.
 
-    primers: (name, sequence, group), a catalogue of bounded size: the driver writes out at
-    most MAX_PREFIXES short strings for each, which are broadcast. key: unique per read. Reads are
-    not shuffled for the matching; only hits (read, primer) are grouped by read.
+    primers: (name, sequence, group), of which the driver writes out MAX_TABLE short strings at most; more primers
+    than that raise. No read is moved; rows, also repeated ones, and their other columns stay as they are.
     """
-    spark = reads.sparkSession
-    by_length: dict[int, list] = {}
+    if len(primers) > MAX_TABLE:
+        raise ValueError(f"more than {MAX_TABLE} primers")
+    most = min(MAX_PREFIXES, max(1, MAX_TABLE // max(1, len(primers))))
+    tables: dict[int, dict[str, set]] = {}
     for name, seq, _ in primers:
-        n, concrete = prefixes(seq)
-        exact = None if n == len(seq) else pattern(seq)
-        by_length.setdefault(n, []).extend((p, name, seq.upper(), exact) for p in concrete)
-    hits = None
-    for n, rows in sorted(by_length.items()):
-        t = spark.createDataFrame(rows, "_p string, name string, family string, rest string")
-        h = reads.select(F.col(key), F.col(window).alias("_w")).join(F.broadcast(t), F.substring("_w", 1, n) == F.col("_p"))
-        h = h.filter(F.col("rest").isNull() | F.expr("_w rlike rest")).select(key, "name", "family")
-        hits = h if hits is None else hits.unionByName(h)
-    if hits is None:
-        return reads.select(key, F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("families")).limit(0)
-    return hits.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("family")).alias("families"))
-
-
-def categorise(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, str, str]], oligo: bool = False) -> DataFrame:
+        n, concrete = prefixes(seq, most)
+        rest = None if n == len(seq) else pattern(seq)
+        for p in concrete:
+            tables.setdefault(n, {}).setdefault(p, set()).add((name, seq.upper(), rest))
+    out, found = reads, []
+    kind = "array<struct<name: string, family: string, rest: string>>"
+    for n, rows in sorted(tables.items()):
+        t = reads.sparkSession.createDataFrame([(p, sorted(hits, key=str)) for p, hits in rows.items()], f"__p{n} string, __hits{n} {kind}")
+        out = out.join(F.broadcast(t), F.substring(window, 1, n) == F.col(f"__p{n}"), "left")
+        hits = F.coalesce(F.col(f"__hits{n}"), F.array().cast(kind))
+        if any(rest for hits_ in rows.values() for _, _, rest in hits_):
+            hits = F.filter(hits, lambda h: h["rest"].isNull() | F.rlike(F.col(window), h["rest"]))
+        found.append(hits)
+    all_ = F.concat(*found) if found else F.array().cast(kind)
+    of = lambda f: F.array_sort(F.array_distinct(F.transform(F.col("__all"), lambda h: h[f])))
+    keep = [F.col(f"`{c}`") for c in reads.columns]
+    return out.select(*keep, all_.alias("__all")).select(*keep, of("name").alias("names"), of("family").alias("families"))
+
+
+def match(reads: DataFrame, key: str, window: str, primers: list[tuple[str, str, str]]) -> DataFrame:
+    """(key, names, families) of the reads that start with any primer. See with_match()."""
+    return with_match(reads.select(F.col(key), F.col(window).alias("__w")), "__w", primers).filter(F.size("names") > 0).drop("__w")
+
+
+def categorise(reads: DataFrame, seq: str, primers: list[tuple[str, str, str]], oligo: bool = False) -> DataFrame:
     """Reads with names, families, match_class, trim_state and trim_length.
 
     match_class: not_configured (no primers), sequence_unavailable (null or ''),
@@ -159,10 +170,7 @@ def categorise(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, st
     cut: matched sequences of several lengths are never cut, nor is a read that is primer only.
     """
     prefix = len(ADAPTER) + UMI_LENGTH + BARCODE_LENGTH if oligo else 0
-    r = reads.withColumn("_win", window_of(F.col(seq), oligo))
-    m = match(r, key, "_win", primers).withColumnRenamed(key, "_k")
-    empty = F.array().cast("array<string>")
-    j = r.join(m, F.col(key) == F.col("_k"), "left").withColumn("names", F.coalesce("names", empty)).withColumn("families", F.coalesce("families", empty))
+    j = with_match(reads.withColumn("_win", window_of(F.col(seq), oligo)), "_win", primers)
     n = F.size("names")
     cls = (
         F.when(F.lit(not primers), "not_configured").when(F.coalesce(F.length(seq), F.lit(0)) == 0, "sequence_unavailable")
@@ -175,7 +183,7 @@ def categorise(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, st
         .when(cut >= F.length(seq), "primer_only_untrimmed").when(n == 1, "trimmed_unique").otherwise("trimmed_multi_same_length")
     )
     j = j.withColumn("match_class", cls).withColumn("trim_state", state)
-    return j.withColumn("trim_length", F.when(F.startswith("trim_state", F.lit("trimmed")), cut).otherwise(0)).drop("_win", "_k")
+    return j.withColumn("trim_length", F.when(F.startswith("trim_state", F.lit("trimmed")), cut).otherwise(0)).drop("_win")
 
 
 def match_summary(counts: DataFrame, groups: list[str]) -> DataFrame:
@@ -204,25 +212,28 @@ def settings(threshold: float, enabled: bool = True) -> float:
     return t
 
 
-def alternative_groups(reads: DataFrame, key: str, seq: str, groups: list[str], primers: list[tuple[str, str, str]], assigned: str, summary: DataFrame, threshold: float = 50.0) -> DataFrame:
+def _names_by_group(primers: list[tuple[str, str, str]]) -> dict[str, list[str]]:
+    return {g: sorted({n for n, _, x in primers if x == g}) for g in sorted({p[2] for p in primers})}
+
+
+def alternative_groups(reads: DataFrame, seq: str, groups: list[str], primers: list[tuple[str, str, str]], assigned: str, summary: DataFrame, threshold: float = 50.0) -> DataFrame:
     """P10: for groups of reads whose unique percentage is below the threshold, how each other primer
     group would do: per read one primer of that group is unique, several are multiple.
 
     summary: match_summary() over the same groups. `suspected` needs a percentage of at least the
-    threshold and above the original one. One pass matches all primers; hits are rolled up
-    per (read, primer group) and counted.
+    threshold and above the original one. One pass matches all primers; a read's hits are counted by primer group
+    where it is, and only counts are moved.
     """
     t = settings(threshold)
     low = summary.filter((F.col("match_class") == "unique") & (F.col("percent") < t)).select(*(F.col(g).alias(f"__{g}") for g in groups), F.col("denominator"), F.col("percent").alias("original_unique_percent"))
     other = [p for p in primers if p[2] != assigned]
-    r = reads.filter(F.length(seq) > 0).withColumn("_win", F.upper(seq))
-    names = reads.sparkSession.createDataFrame([(n, g) for n, _, g in other] or [("", "")], "_name string, tested_group string").distinct()
-    m = match(r, key, "_win", other).select(F.col(key).alias("_k"), F.explode("names").alias("_n"))
-    per = m.join(F.broadcast(names), F.col("_n") == F.col("_name")).groupBy("_k", "tested_group").agg(F.count(F.lit(1)).alias("hits"))
-    hit = r.select(F.col(key), *groups).join(per, F.col(key) == F.col("_k")).groupBy(*groups, "tested_group").agg(
-        F.sum(F.when(F.col("hits") == 1, 1).otherwise(0)).alias("u"), F.sum(F.when(F.col("hits") > 1, 1).otherwise(0)).alias("m")
+    of = _names_by_group(other)
+    m = with_match(reads.filter(F.length(seq) > 0).select(*groups, F.upper(seq).alias("_win")), "_win", other)
+    hits = F.array(*(F.struct(F.lit(g).alias("tested_group"), F.size(F.array_intersect("names", F.array(*(F.lit(n) for n in names)))).alias("hits")) for g, names in of.items())) if of else F.array().cast("array<struct<tested_group: string, hits: int>>")
+    hit = m.select(*groups, F.explode(F.filter(hits, lambda h: h["hits"] > 0)).alias("_h")).groupBy(*groups, F.col("_h.tested_group").alias("tested_group")).agg(
+        F.sum(F.when(F.col("_h.hits") == 1, 1).otherwise(0)).alias("u"), F.sum(F.when(F.col("_h.hits") > 1, 1).otherwise(0)).alias("m")
     )
-    tested = low.select("*", F.explode(F.array(*(F.lit(g) for g in sorted({p[2] for p in other})))).alias("_tg")) if other else low.withColumn("_tg", F.lit("")).limit(0)
+    tested = low.select("*", F.explode(F.array(*(F.lit(g) for g in of))).alias("_tg")) if of else low.withColumn("_tg", F.lit("")).limit(0)
     same = F.col("tested_group") == F.col("_tg")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
@@ -271,7 +282,7 @@ def mapping_rates(obs: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def scenarios(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, str, str]], suspected: DataFrame, groups: list[str]) -> DataFrame:
+def scenarios(reads: DataFrame, seq: str, primers: list[tuple[str, str, str]], suspected: DataFrame, groups: list[str]) -> DataFrame:
     """Reads of groups with a suspected alternative, reclassified under that primer group: a
     row per read and scenario, with scenario_id (a hash of group and tested primer group), names and
     match_class. usage.scenario_lineage() and scenario_records() give copies and gene usage by scenario_id."""
@@ -280,11 +291,12 @@ def scenarios(reads: DataFrame, key: str, seq: str, primers: list[tuple[str, str
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     sid = F.substring(F.sha2(F.concat_ws("\x00", *(F.col(g).cast("string") for g in groups), F.col("tested_group")), 256), 1, 16)
-    r = reads.join(tested, same).withColumn("scenario_id", sid).drop(*(f"__{g}" for g in groups))
-    m = match(reads.withColumn("_win", F.upper(seq)), key, "_win", primers).select(F.col(key).alias("_k"), F.col("names").alias("_all"))
-    of = reads.sparkSession.createDataFrame([(g, sorted({n for n, _, x in primers if x == g})) for g in sorted({p[2] for p in primers})], "_tg string, _allowed array<string>")
-    j = r.join(m, F.col(key) == F.col("_k"), "left").join(F.broadcast(of), F.col("tested_group") == F.col("_tg"), "left")
-    names = restrict(F.coalesce("_all", F.array().cast("array<string>")), F.coalesce("_allowed", F.array().cast("array<string>")))
+    m = with_match(reads.withColumn("_win", F.upper(seq)), "_win", primers).drop("_win", "families")
+    j = m.join(tested, same).withColumn("scenario_id", sid).drop(*(f"__{g}" for g in groups))
+    allowed = F.array().cast("array<string>")
+    for g, names in _names_by_group(primers).items():
+        allowed = F.when(F.col("tested_group") == g, F.array(*(F.lit(n) for n in names))).otherwise(allowed)
+    j = j.withColumn("names", restrict(F.col("names"), allowed))
     n = F.size("names")
     cls = F.when(F.coalesce(F.length(seq), F.lit(0)) == 0, "sequence_unavailable").when(n == 1, "unique").when(n > 1, "multiple").otherwise("unmatched")
-    return j.withColumn("names", names).withColumn("match_class", cls).drop("_k", "_all", "_tg", "_allowed")
+    return j.withColumn("match_class", cls)

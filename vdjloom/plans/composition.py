@@ -11,8 +11,9 @@ from vdjloom.functions.text import pct
 from vdjloom.functions.values import utc_time, valid_sequence
 from vdjloom.operators import bcell, lineage, matching, primers, ranking, stages, umi, usage
 from vdjloom.plans import roles
+from vdjloom.plans.durable import settle
 from vdjloom.plans.repertoire import rounded
-from vdjloom.plans.roles import AIRR_SQL, MATCH_SQL, PRIMERS, RECORDS_SQL, obs_sql
+from vdjloom.plans.roles import AIRR_SQL, MATCH_SQL, PRIMER_SQL, PRIMERS, RECORDS_SQL, obs_sql
 from vdjloom.sources import sinks
 from vdjloom.sources.tables import table
 from vdjloom.streaming import windows
@@ -218,7 +219,7 @@ def isotype_shared_cdr3(s: S, d: str) -> DataFrame:
 
 
 def _categorised(s: S, d: str) -> DataFrame:
-    return primers.categorise(roles.observations(s, d, "sample_key", "chain", "sequence", "filter_reason", "v_call"), "id", "sequence", PRIMERS)
+    return primers.categorise(roles.observations(s, d, "sample_key", "chain", "sequence", "filter_reason", "v_call"), "sequence", PRIMERS)
 
 
 _SUMMARY = MATCH_SQL + """, n as (select sample_key, count(*) as n_all, count(*) filter (where match_class = 'unique') as u, count(*) filter (where match_class = 'multiple') as m, count(*) filter (where match_class = 'unmatched') as x from cat group by 1),
@@ -267,8 +268,8 @@ _ALT = MATCH_SQL + """, a as (select o.sample_key, o.id, grp, count(distinct nam
 
 def _alternatives(s: S, d: str, threshold: float = 50.0) -> tuple[DataFrame, DataFrame]:
     r = roles.observations(s, d, "sample_key", "sequence").filter("length(sequence) > 0")
-    own = primers.categorise(r, "id", "sequence", [p for p in PRIMERS if p[2] == "gA"])
-    return r, primers.alternative_groups(r, "id", "sequence", ["sample_key"], PRIMERS, "gA", _summary(own), threshold)
+    own = primers.categorise(r, "sequence", [p for p in PRIMERS if p[2] == "gA"])
+    return r, primers.alternative_groups(r, "sequence", ["sample_key"], PRIMERS, "gA", _summary(own), threshold)
 
 
 @query("with " + _ALT + " select * from alt")
@@ -285,10 +286,50 @@ def primer_scenarios(s: S, d: str) -> DataFrame:
     """P13, P07"""
     r, alt = _alternatives(s, d)
     low = F.when((F.col("unique_percent") >= 5) & (F.col("unique_percent") > F.col("original_unique_percent")), "suspected").otherwise("below_threshold")
-    x = primers.scenarios(r, "id", "sequence", PRIMERS, alt.withColumn("status", low), ["sample_key"])
+    x = primers.scenarios(r, "sequence", PRIMERS, alt.withColumn("status", low), ["sample_key"])
     return x.groupBy("sample_key", "tested_group", "match_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SCENARIO = f"""with {PRIMER_SQL}, o as (select distinct id, chain, upper(sequence) as s, filter_reason, v_call from observations where sequence <> '' and chain is not null),
+  h as (select o.id, chain, grp, count(distinct name) as k, min(name) as name from o join primers on regexp_matches(s, pattern) group by 1, 2, 3), den as (select chain, count(*) as n from o group by 1),
+  base as (select den.chain, n, cast(100 as double) * (select count(*) from h where h.chain = den.chain and grp = 'gA' and k = 1) / n as op from den),
+  sus as (select chain, grp, left(sha256(chain || chr(0) || grp), 16) as sid from (select base.chain, t.grp, op, cast(100 as double) * (select count(*) from h where h.chain = base.chain and h.grp = t.grp and k = 1) / n as p from base cross join (select unnest(['gB', 'gC']) as grp) t where op < 50) where p >= 5 and p > op),
+  fin as (select id, chain, left(s, 6) as identity_key from o where filter_reason = 'retained'), rec as (select chain, left(s, 6) as identity_key, min(id) as rid, count(*) as w, min(v_call) as v from o where filter_reason in ('retained', 'retained_history') group by 1, 2),
+  lin as (select sid, identity_key, case when h.k = 1 then h.name else '' end as primer, count(*) as n from fin join sus using (chain) left join h on h.id = fin.id and h.grp = sus.grp group by 1, 2, 3), tot as (select sid, identity_key, sum(n) as n from lin group by 1, 2),
+  ex as (select sid, identity_key, rid, v from rec join sus using (chain) join tot using (sid, identity_key) where w = tot.n), al as (select ex.*, primer, n from ex join lin using (sid, identity_key) where primer <> '')"""
+
+
+def _scenarios(s: S, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scenarios of chains: final rows are the retained observations, records those and the retained history of one beginning."""
+    o = roles.observations(s, d, "chain", "sequence", "filter_reason", "v_call").filter("sequence <> '' and chain is not null").withColumnRenamed("chain", "group_id").withColumn("identity_key", F.upper(F.substring("sequence", 1, 6)))
+    own = primers.categorise(o, "sequence", [p for p in PRIMERS if p[2] == "gA"])
+    alt = primers.alternative_groups(o, "sequence", ["group_id"], PRIMERS, "gA", primers.match_summary(primers.by_class(own, ["group_id"]), ["group_id"]))
+    alt = alt.withColumn("status", F.when((F.col("unique_percent") >= 5) & (F.col("unique_percent") > F.col("original_unique_percent")), "suspected").otherwise("below_threshold"))
+    m = settle(primers.scenarios(o.select("id", "group_id", "sequence"), "sequence", PRIMERS, alt, ["group_id"]).drop("sequence"))
+    lineage_ = usage.scenario_lineage(m, o.filter("filter_reason = 'retained'").select("group_id", "id", "identity_key"), ["id"])
+    r = o.filter("filter_reason in ('retained', 'retained_history')").groupBy("group_id", "identity_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.min("v_call").alias("v_call"))
+    r = r.withColumns({"sample_record": F.lit(1), "aa_field": F.lit("cdr3_aa"), "aa_value": F.col("identity_key"), "aa_valid": F.lit(1)})
+    g = r.select(F.col("id").alias("record_id"), F.lit("V").alias("segment"), C.calls("v_call").alias("g"))
+    lineage_, r = settle(lineage_), settle(r.drop("v_call"))
+    return usage.scenario_records(r, g.select("record_id", "segment", F.explode("g").alias("gene"), C.assignment(F.col("g")).alias("assignment")), lineage_, m.select("scenario_id", "group_id"))
+
+
+@query(_SCENARIO + """ select sid as scenario_id, count(*) as records, cast(sum(w) as bigint) as copies, cast(coalesce((select sum(n) from al where al.sid = sus.sid), 0) as bigint) as allocated, cast(sum(w) - coalesce((select sum(n) from al where al.sid = sus.sid), 0) as bigint) as unresolved from rec join sus using (chain) group by 1""")
+def scenario_totals(s: S, d: str) -> DataFrame:
+    """Copies given to the primers of each scenario"""
+    return _scenarios(s, d)[2].withColumnRenamed("group_id", "scenario_id")
+
+
+@query(_SCENARIO + f""", c as (select sid, primer, n, {C.sql_calls('v')} as g from al), e as (select sid, primer, n, len(g) = 1 as one, unnest(g) as gene from c),
+  u as (select sid, primer, gene, cast(coalesce(sum(n) filter (where one), 0) as bigint) as unique_count, cast(coalesce(sum(n) filter (where not one), 0) as bigint) as ambiguous_count from e group by 1, 2, 3)
+  select sid as scenario_id, primer, gene, unique_count, ambiguous_count, cast(sum(unique_count) over p as bigint) as denominator, case when sum(unique_count) over p > 0 then round(cast(100 as double) * unique_count / sum(unique_count) over p, 6) end as percent from u window p as (partition by sid, primer)""")
+def scenario_usage(s: S, d: str) -> DataFrame:
+    """Gene usage of each scenario from its allocated copies"""
+    r, c, _ = _scenarios(s, d)
+    u = usage.gene_usage(usage.usage_counts(r, c)).withColumnRenamed("group_id", "scenario_id")
+    return rounded(u.select("scenario_id", "primer", "gene", "unique_count", "ambiguous_count", "denominator", "percent"))
+
+
 @query(f"""with {MATCH_SQL}, b as (select sample_key, chain, case match_class when 'unique' then names[1] when 'multiple' then '[Multiple]' when 'unmatched' then '[Unmatched]' else '[Unassessed]' end as primer,
   case when v_call is not null and upper(trim(v_call)) not in ('', '*', '-', 'NA', 'N/A', 'NONE', 'NULL', 'NO_HIT', 'UNMAPPED', 'NOT_FOUND') and contains(v_call, chain) then 1 else 0 end as mapped, filter_reason from cat),
   g as (select sample_key, chain, primer, count(*) as matched_reads, cast(sum(mapped) as bigint) as mapped_reads, count(*) filter (where filter_reason in ('retained', 'retained_history', 'imported_result')) as retained_reads,
