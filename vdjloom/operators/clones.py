@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vdjloom.functions.text import pct, strip
 from vdjloom.operators.ranking import running
 
+# How many colours clones are drawn in, and the first one's place.
+COLOURS, FIRST_COLOUR = 43, 123
+
 
 def clone_counts(df: DataFrame, keys: list[str], cdr3: list[str] | None = None) -> DataFrame:
     """(*keys, v_call, j_call, cdr3_aa, record_count) over productive rows with a CDR3,
@@ -106,13 +109,18 @@ def _squarify(parents: DataFrame, children: DataFrame, within: list[str], order:
     return stream.mapInArrow(place, schema)
 
 
+def clone_colour(v_call: str, j_call: str, cdr3: str) -> Column:
+    """The place of a clone's colour among COLOURS, the same in every picture: from the first 48 bits of the md5 of its names joined by bars."""
+    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in (v_call, j_call, cdr3))))
+    return ((F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + FIRST_COLOUR) % COLOURS).cast("int")
+
+
 def treemap_layout(top: DataFrame, keys: list[str], width: float = 100.0, height: float = 100.0, settle=None) -> DataFrame:
     """The rectangle (x, y, w, h) of every clone, nested V, then J, then CDR3, with areas over its
     sample and chain's whole count, and a colour index from the clone's md5. V and J rectangles come from sums;
     equal sums go by name, clones by rank. The picture starts at the far corner, as the reference draws it.
     settle: a function that writes the clones and reads them back; else they are computed for each level."""
-    digest = F.md5(F.concat_ws("\x00", *(F.coalesce(F.col(c), F.lit("")) for c in ("v_call", "j_call", "cdr3_aa"))))
-    colour = (F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % 20).cast("int").alias("colour")
+    colour = clone_colour("v_call", "j_call", "cdr3_aa").alias("colour")
     leaves = top.filter("record_count > 0").select(*keys, "v_call", "j_call", "rank", F.col("record_count").cast("bigint").alias("_size"), colour)
     leaves = settle(leaves) if settle else leaves
     v, j = [*keys, "v_call"], [*keys, "v_call", "j_call"]

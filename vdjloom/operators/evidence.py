@@ -173,6 +173,12 @@ def attach_barcodes(airr: DataFrame, barcodes: DataFrame, key: str = "sequence_i
     return airr.drop("barcode").join(one, key), airr.select(key).distinct().join(one.select(key), key, "left_anti")
 
 
+def candidate_sets(calls: DataFrame) -> DataFrame:
+    """(record_id, segment, candidates): the genes of each ambiguous call, sorted and joined by commas. Equal calls count once."""
+    c = calls.filter("assignment = 'ambiguous' and gene <> ''")
+    return c.groupBy("record_id", "segment").agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("candidates"))
+
+
 def candidate_genes(candidates: DataFrame) -> DataFrame:
     """Per group, segment and set of candidate genes its records; an empty table gives none."""
     return candidates.groupBy("group_id", "segment", "candidates").agg(F.count(F.lit(1)).alias("records"))

@@ -535,9 +535,8 @@ def barcode_map(s: S, d: str) -> DataFrame:
   select group_id, segment, candidates, count(*) as records from a join (select distinct id, group_id from records) r on record_id = id group by 1, 2, 3""")
 def candidate_gene_summary(s: S, d: str) -> DataFrame:
     """Records per set of candidate genes"""
-    c = roles.calls(s, d).filter("assignment = 'ambiguous' and gene <> ''").groupBy("record_id", "segment").agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("candidates"))
     r = roles.records(s, d).select("id", "group_id").distinct()
-    return evidence.candidate_genes(c.join(r, F.col("record_id") == F.col("id")))
+    return evidence.candidate_genes(evidence.candidate_sets(roles.calls(s, d)).join(r, F.col("record_id") == F.col("id")))
 
 
 @query("""with g as (select distinct gene, segment from composition_calls where gene is not null), f as (""" + repertoire.ORACLE["gene_family"] + """), n as (""" + repertoire.ORACLE["natural_gene_order"] + """)

@@ -65,6 +65,19 @@ def treemap_layout(s: S, d: str) -> DataFrame:
     return rounded(clones.treemap_layout(clones.clone_top(_clones(s, d), ["sample", "chain"]), ["sample", "chain"], settle=settle), 3)
 
 
+@query(_CLONES + f""", t as (select sample, chain, cast(row_number() over w as bigint) as rank, v_call, j_call, cdr3_aa, record_count from c window w as (partition by sample, chain order by record_count desc, v_call, j_call, cdr3_aa))
+  select t.sample, t.chain, rank, record_count as records_of_area, cast((cast('0x' || left(md5(t.v_call || '|' || t.j_call || '|' || cdr3_aa), 12) as bigint) + {clones.FIRST_COLOUR}) % {clones.COLOURS} as int) as colour, true as within from t""")
+def treemap_areas(s: S, d: str) -> DataFrame:
+    """The area and colour of every clone's rectangle, which lies within the picture"""
+    c = settle(_clones(s, d))
+    t = clones.treemap_layout(clones.clone_top(c, ["sample", "chain"]), ["sample", "chain"], settle=settle)
+    total = c.groupBy("sample", "chain").agg(F.sum("record_count").alias("_total"))
+    low, high = -1e-6, 100 + 1e-6
+    within = (F.col("x") >= low) & (F.col("y") >= low) & (F.col("x") + F.col("w") <= high) & (F.col("y") + F.col("h") <= high)
+    of_area = F.round(F.col("w") * F.col("h") * F.col("_total") / 10000).cast("bigint")
+    return t.join(total, ["sample", "chain"]).select("sample", "chain", "rank", of_area.alias("records_of_area"), "colour", within.alias("within"))
+
+
 @query(_CLONES + """ select sample, chain, cast(row_number() over w as bigint) as rank, v_call, j_call, cdr3_aa, record_count, printf('%.8f', cast(100 as double) * record_count / sum(record_count) over p) as frequency_percent
   from c window p as (partition by sample, chain), w as (partition by sample, chain order by record_count desc, v_call, j_call, cdr3_aa)""")
 def clone_export(s: S, d: str) -> DataFrame:
