@@ -143,10 +143,12 @@ def strongly_repeating(
     return e.filter("_side = 'in'").select(*cols).unionByName(exact.filter(F.col("_distinct") * num < F.col("n_rows") * den).select(*cols))
 
 
-def outside(df: DataFrame, dims: list[str], value: str, counts: DataFrame) -> DataFrame:
+def outside(df: DataFrame, dims: list[str], value: str, counts: DataFrame, settle=None) -> DataFrame:
     """How distinct_counts() fared against exact counts: per grouping its sets, the exact distinct values of all of them, and
-    the sets whose estimate is off by more than SURE standard errors and SURE identifiers: (grouping, n_sets, n_distinct, n_outside)."""
+    the sets whose estimate is off by more than SURE standard errors and SURE identifiers: (grouping, n_sets, n_distinct, n_outside).
+    settle: a function that writes the distinct values and reads them back; else they are made for each grouping."""
     once = df.filter(F.col(value).isNotNull()).select(*dims, value).distinct()
+    once = settle(once) if settle else once
     out = None
     for keep in groupings(dims):
         exact = once.select(*keep, value).distinct().groupBy(*(F.col(d).alias(f"_{d}") for d in keep)).agg(F.count(F.lit(1)).alias("_exact"))

@@ -72,7 +72,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_accuracy(spark: SparkSession, d: str) -> DataFrame:
     v, e = _counts(spark, d)
-    return bitmaps.outside(v, _DIMS, "value", e)
+    return bitmaps.outside(v, _DIMS, "value", settle(e), settle)
 
 
 def _sizes(spark: SparkSession, d: str, *more) -> DataFrame:
