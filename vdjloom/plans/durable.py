@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple] = []  # (path, its file system's configuration), both of the JVM
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, suffix: str = "") -> str:
     """A new place in the shared folder, which release() deletes."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}{suffix}"
-    _written.append((spark, path))
+    _written.append((spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()))
     return path
 
 
@@ -48,11 +48,10 @@ def release() -> int:
     be computed any more. It runs by itself when the program ends."""
     n = 0
     while _written:
-        spark, path = _written.pop()
+        path, conf = _written.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
-        except Exception:  # the session is gone: its folder stays to whoever set it
+            n += bool(path.getFileSystem(conf).delete(path, True))
+        except Exception:  # the JVM is gone: the folder stays to whoever set it
             return n
     return n
 

@@ -84,7 +84,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_packed(table(spark, d, "observations"), "id", ["primers", "v_call", "j_call"], settle)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_orphans_by_month, p4_found, p4_per_sample, p4_per_identity, p6_found)}
+def p6_known(spark: SparkSession, d: str) -> DataFrame:
+    """Lists whose items are known: three names of each customer, one with a comma in it, written in a way of the customer's
+    segment: as JSON, as JSON within JSON, with semicolons, with quotes and commas, with tabs. Only the JSON tells the names apart for certain."""
+    items = F.array("c_name", F.concat(F.lit("IgL,w"), F.col("c_nationkey") % 4), F.concat(F.lit("R_"), "c_nationkey"))
+    c = table(spark, d, "customer").withColumn("i", items).withColumn("j", F.to_json("i"))
+    way = {"AUTOMOBILE": F.col("j"), "BUILDING": F.concat(F.lit('"'), F.replace("j", F.lit('"'), F.lit('\\"')), F.lit('"')), "FURNITURE": F.array_join("i", "; "), "MACHINERY": F.concat(F.lit('"'), F.array_join("i", '","'), F.lit('"'))}
+    packed_ = F.array_join("i", "\t")
+    for segment, text in way.items():
+        packed_ = F.when(F.col("c_mktsegment") == segment, text).otherwise(packed_)
+    return packed.split_packed(c.select(F.col("c_custkey").alias("id"), packed_.alias("primers")), "id", ["primers"], settle)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_orphans_by_month, p4_found, p4_per_sample, p4_per_identity, p6_found, p6_known)}
 
 _LOST = f"""
 with refs as (
@@ -120,4 +132,7 @@ with c as (select record_id as k, count(*) as n, sum(case when assignment = 'amb
 select identity_key, count(*) as records, cast(sum(coalesce(n, 0)) as bigint) as joined_rows, cast(sum(weight) as bigint) as weight_sum,
   cast(sum(weight * coalesce(n, 0)) as bigint) as joined_weight, cast(sum(a) as bigint) as joined_ambiguous
 from composition_records left join c on id = k group by 1""",
+    "p6_known": """
+select c_custkey as id, 'primers' as field_name, cast(p as int) as pos, case p when 1 then c_name when 2 then 'IgL,w' || (c_nationkey % 4) else 'R_' || c_nationkey end as item
+from customer, (select unnest([1, 2, 3]) as p)""",
 }
