@@ -81,6 +81,31 @@ def _round(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_COLS)
 
 
+def _round_nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """As _round(), for each source and node of the tree by itself; a node's rows come together, FAN_IN for each source at most."""
+
+    def nodes() -> Iterator[tuple]:
+        key, held = None, []
+        for p in parts:
+            for *row, node in p[[*_COLS, "node"]].itertuples(index=False, name=None):
+                if (row[0], node) != key:
+                    if held:
+                        yield from ((*x, key[1]) for x in _settle(iter(held)))
+                    key, held = (row[0], node), []
+                held.append(tuple(row))
+        if held:
+            yield from ((*x, key[1]) for x in _settle(iter(held)))
+
+    out = []
+    for row in nodes():
+        out.append(row)
+        if len(out) >= 50_000:
+            yield pd.DataFrame(out, columns=[*_COLS, "node"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=[*_COLS, "node"])
+
+
 def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """What each source can give: (source as written, source_key, target_share, max_repeats,
     available_tokens, n_docs, wanted_tokens, capacity_tokens, can_fill, rate). The mix is as
@@ -114,7 +139,6 @@ def mix(sizes: DataFrame, targets: DataFrame, settle, seed: int = 11) -> DataFra
     docs = sizes.filter("source_key is not null").join(F.broadcast(rates) if few else rates, "source_key")
     kind = sizes.schema["doc_id"].dataType.simpleString()
 
-
     def draw(level: int) -> Column:
         """A number from 0 to 1 for each document, another at each level."""
         return (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53))).alias("u")
@@ -125,14 +149,11 @@ def mix(sizes: DataFrame, targets: DataFrame, settle, seed: int = 11) -> DataFra
     done, nodes = level.filter("p = 0").select(*_COLS), max(1, level.agg(F.max("node")).first()[0] or 0) + 1
     open_ = level.filter("p > 0")
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["tokens", "u"], ascending=[False, True])
-        return pd.DataFrame(list(_settle(p[_COLS].itertuples(index=False, name=None))), columns=_COLS).assign(node=p["node"].iloc[0])
-
     depth = 0
     while nodes > 1:
         nodes, depth = -(-nodes // FAN_IN), depth + 1
-        step = open_.withColumn("u", draw(depth)).withColumn("node", (F.col("node") / FAN_IN).cast("int")).groupBy("source", "node").applyInPandas(one, schema + ", node int")
+        step = open_.withColumn("u", draw(depth)).withColumn("node", (F.col("node") / FAN_IN).cast("int"))
+        step = step.repartition("source", "node").sortWithinPartitions("source", "node", F.desc("tokens"), "u").mapInPandas(_round_nodes, schema + ", node int")
         step = settle(step)
         done, open_ = done.unionByName(step.filter("p = 0").select(*_COLS)), step.filter("p > 0")
     last = open_.withColumn("u", draw(depth + 1)).select("source", "doc_id", "tokens", (F.col("copies") + (F.col("u") < F.col("p")).cast("int")).alias("copies"), F.lit(0.0).alias("p"), "u")
