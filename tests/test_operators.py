@@ -419,6 +419,37 @@ def test_file_matching_of_ids_without_ascii(spark):
     ]
 
 
+def _rows_out(plan):
+    """Output rows of a run plan's joins, the stages' own plans included."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _rows_out(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _rows_out(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if name.endswith("JoinExec") else []
+    return own + [n for i in range(plan.children().size()) for n in _rows_out(plan.children().apply(i))]
+
+
+@pytest.mark.parametrize("note", ["/srv/runs", None])
+def test_records_of_one_note_are_not_paired_with_all_its_files(spark, note):
+    n = 120
+    files = spark.createDataFrame([(f"/srv/runs/2026/lib-{i}_R1",) for i in range(n)] + [("/srv/runs/2026/none",), ("/else/lib-1",)], "path string")
+    rec = spark.createDataFrame([(i, note, f"LIB-{i}", f"lib_{i}") for i in range(n)], "record_id int, note string, sample_id string, dual_index string")
+    out = matching.match_files(files, rec)
+    got = {(r["path"], r["record_id"], r["match_method"], r["error"]) for r in out.collect()}
+    want = {(f"/srv/runs/2026/lib-{i}_R1", i, "sample_id", "") for i in range(n)} | {("/srv/runs/2026/none", None, "error", "no dual index matches")}
+    assert got == want | {("/else/lib-1", None, "error", "no note matches") if note else ("/else/lib-1", 1, "sample_id", "")}
+    joined = _rows_out(out._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) <= 3 * n  # not n * n
+
+
+def test_paths_without_components_match_no_note(spark):
+    files = spark.createDataFrame([("",), ("/",), ("/a/S1",), (None,)], "path string")
+    rec = spark.createDataFrame([(1, "a", "S1", "")], "record_id int, note string, sample_id string, dual_index string")
+    got = {(r["path"], r["record_id"], r["error"]) for r in matching.match_files(files, rec).collect()}
+    assert got == {("/a/S1", 1, "")} | {(p, None, "no note matches") for p in ("", "/", None)}
+
+
 def test_best_suffix_rejects_ties(spark):
     w = spark.createDataFrame([(1, "q/a/b/c"), (2, "x/y/z"), (3, "m/n")], "id bigint, w string")
     f = spark.createDataFrame([("r/a/b/c",), ("r/z/b/c",), ("1/y/z",), ("2/y/z",)], "path string")
